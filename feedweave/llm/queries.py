@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedweave.llm import bpe, minhash
+from feedweave.llm import bpe, minhash, pii, secret_scan
 
-_MODULES = (minhash, bpe)
+_MODULES = (secret_scan, pii, minhash, bpe)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
