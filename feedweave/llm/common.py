@@ -139,3 +139,30 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def lower_bytes(text: str) -> np.ndarray:
     """UTF-8 bytes with A-Z lowered."""
     return LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+
+
+#: Ids that are sent to every executor at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in ids (one column).  Rows with a null id stay."""
+    ids = cut(ids.toDF("__id").distinct())
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col] == ids["__id"], "left_anti")
+
+
+def text_blocks(batch, size: int = 2 << 20):
+    """(ids, texts) of an Arrow batch of (doc_id, text), in runs of about `size` characters."""
+    ids, run, have = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        text = text.as_py()
+        ids.append(doc)
+        run.append(text)
+        have += len(text)
+        if have >= size:
+            yield ids, run
+            ids, run, have = [], [], 0
+    if ids:
+        yield ids, run
