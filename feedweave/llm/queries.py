@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedweave.llm import bpe, decontaminate, language_id, minhash, pii, secret_scan
+from feedweave.llm import bpe, decontaminate, fingerprint, language_id, minhash, pii, secret_scan
 
-_MODULES = (secret_scan, pii, language_id, minhash, decontaminate, bpe)
+_MODULES = (secret_scan, fingerprint, pii, language_id, minhash, decontaminate, bpe)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
