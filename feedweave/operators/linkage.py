@@ -26,7 +26,10 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 def normalised(show: str, title: str, rules: dict[str, TitleRules]) -> Column:
     """The scoring form of a title; show-specific rules by exact name, no show ('') without slugging."""
-    known = " ".join(f"when {show} = {text.SPARK.text(name)} then {text.alignment_title(title, r)}" for name, r in sorted(rules.items()))
+    alike: dict[TitleRules, list[str]] = {}
+    for name, r in sorted(rules.items()):
+        alike.setdefault(r, []).append(text.SPARK.text(name))
+    known = " ".join(f"when {show} in ({', '.join(names)}) then {text.alignment_title(title, r)}" for r, names in alike.items())
     return F.expr(f"case {known} when coalesce({show}, '') = '' then {text.alignment_title(title)} else {text.alignment_title(title, TitleRules())} end")
 
 

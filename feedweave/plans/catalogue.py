@@ -308,13 +308,13 @@ def _match_files(spark, sf):
     return match_titles(files, dls.select("show", "idx", "title"))
 
 
-# Scored pairs of events: users against days of the month, per kind of event; scores tie often.
+# Scored pairs of events: users against hours of the month, per kind of event; scores tie often.
 def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("show"), F.col("user_id").alias("ref_idx"), F.dayofmonth("ts").cast("bigint").alias("dl_idx"))
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("show"), F.col("user_id").alias("ref_idx"), (F.dayofmonth("ts") * 24 + F.hour("ts")).cast("bigint").alias("dl_idx"))
     return e.agg((F.count("*") / 10).alias("score")).withColumn("score", F.least(F.lit(1.0), F.col("score") + 0.55 + F.when((F.col("ref_idx") + F.col("dl_idx")) % 4 == 0, 0.2).otherwise(0.0)))
 
 
-_SCORES = """n AS (SELECT event_type AS show, user_id AS ref_idx, dayofmonth(ts) AS dl_idx, count(*) AS n FROM events GROUP BY ALL),
+_SCORES = """n AS (SELECT event_type AS show, user_id AS ref_idx, dayofmonth(ts) * 24 + hour(ts) AS dl_idx, count(*) AS n FROM events GROUP BY ALL),
 s AS MATERIALIZED (SELECT show, ref_idx, dl_idx, least(1.0::DOUBLE, n / 10.0::DOUBLE + 0.55::DOUBLE + CASE WHEN (ref_idx + dl_idx) % 4 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM n),
 o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY show ORDER BY score DESC, ref_idx, dl_idx) AS k FROM s WHERE score >= 0.75),
 g AS (
