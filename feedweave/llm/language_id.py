@@ -16,8 +16,9 @@ Languages are those declared by at least ``LEAST_SHARE`` of the documents with a
 1 / LEAST_SHARE of them); the trigram model has BUCKETS rows.  Host statistics are joined, broadcast only if few.
 
 Defined results: a null or empty text has no text evidence and is rejected; a null declaration, suffix or host gives no
-evidence; ties go to the language first in order of code; repeated rows are identified once each; an empty table, or
-one without any declaration, gives language null and rejection; other columns are not read.
+evidence; ties go to the language first in order of code; repeated rows are identified once each; an empty table gives
+an empty table, and one without any declaration no language and no rejection but of blank texts; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     rows = evidence(docs, id_col, text_col, declared_col, host)
     langs = languages(rows)
     if not langs:
-        return rows.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("text_language"), F.lit(0).cast("bigint").alias("n_trigrams"))
+        return rows.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), (F.trim("text") != "").alias("accepted"), F.lit(None).cast("string").alias("text_language"), F.lit(0).cast("bigint").alias("n_trigrams"))
     size = len(langs)
     says = cut(likelihoods(rows, text_model(rows, langs)).withColumn("says", F.expr("if(n_trigrams = 0, -1, cast(array_position(ll, array_max(ll)) - 1 as int))")))
     sure = says.where("says >= 0")

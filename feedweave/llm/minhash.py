@@ -14,10 +14,9 @@
 
 Two sets at the threshold 0.75 share no band with probability (1 - 0.75**3)**32 < 3e-8.
 
-Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; repeated
-rows with one doc_id are one document (their texts' sets are linked through the id only if similar); ties go to the
-smaller doc_id; an empty table gives an empty table; other columns are not read.  A null doc_id is kept as a row of
-its own with no links.
+Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; rows with one
+doc_id (null included) are one document with the links of them all; ties go to the smaller doc_id; an empty table gives
+an empty table; other columns are not read.  A null doc_id is linked with nothing and kept.
 """
 
 from __future__ import annotations
@@ -182,9 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         right = look.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("b_n_shingles"), F.col("bits").alias("b_bits"))
         return pairs.join(left, "a").join(right, "b").where(close_enough("a_", "b_")).select("a", "b")
 
-    rep_docs = docs  # rows are chosen by id in confirmed()
     star = inside.join(centres, "bucket").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    links = cut(confirmed(cut(screened(star)), rep_docs))
+    links = cut(confirmed(cut(screened(star)), docs))
     found = components(links)
 
     # Buckets that hold more than one component: the rest of the members against those of other components.
@@ -201,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    more = cut(confirmed(cut(rest), rep_docs))
+    more = cut(confirmed(cut(rest), docs))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 

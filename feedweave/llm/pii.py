@@ -6,7 +6,7 @@ security numbers, IBANs.  Four labelers look at every candidate, fixed or loose,
 
 * regex: the strict form of the kind holds (check digits, field ranges, lengths);
 * gazetteer: the top-level domain, country, calling code or card issuer is a known one, or the address is reserved;
-* context: the 32 characters before it hold a word that announces the kind, or one that announces something else;
+* context: the characters before it (up to 32, back to the last match of its pattern) hold a word that announces the kind, or one that announces something else;
 * shape: it stands apart from its neighbours, or is glued to letters or digits.
 
 Candidates are counted by (kind, length class, votes): at most 8 x 4 x 81 cells, whatever the input.  On these counts
@@ -128,12 +128,11 @@ def loose_spans(text: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def voted(text: str, spans: str) -> str:
-    """array<struct<s, e, k, size, votes>> for an array of spans of a text; votes is an array of 1, 0 or -1."""
-    before = f"substring({text}, greatest(x.s - 31, 1), least(x.s, 32))"
-    context = "case x.k " + " ".join(f"when '{k}' then if(rlike({before}, '(?i)(?:{w})'), 1, if(rlike({before}, '(?i)(?:{DENIES})'), 0, -1))" for k, w in ANNOUNCES.items()) + " end"
-    shape = f"if(rlike(substring({text}, x.s, if(x.s = 0, 0, 1)), '[A-Za-z0-9]') or rlike(substring({text}, x.e + 1, 1), '[A-Za-z0-9]'), 0, 1)"
-    return f"""transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'size', least(cast((x.e - x.s) / 12 as int), 3),
+def voted(spans: str) -> str:
+    """array<struct<s, e, k, v, size, votes>> for an array of spans; votes is an array of 1, 0 or -1."""
+    context = "case x.k " + " ".join(f"when '{k}' then if(rlike(x.b, '(?i)(?:{w})'), 1, if(rlike(x.b, '(?i)(?:{DENIES})'), 0, -1))" for k, w in ANNOUNCES.items()) + " end"
+    shape = "if(rlike(x.b, '[A-Za-z0-9]$') or rlike(coalesce(x.a, ''), '[A-Za-z0-9]'), 0, 1)"
+    return f"""transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'v', x.v, 'size', least(cast((x.e - x.s) / 12 as int), 3),
         'votes', array(if({_by_kind(strict)}, 1, 0), {_by_kind(gazetteer)}, {context}, {shape})))"""
 
 
@@ -199,7 +198,7 @@ class Model:
 
 def learn(docs: DataFrame) -> Model:
     text = "text"
-    found = docs.select(F.explode(F.expr(voted(text, f"concat({base_spans(text)}, {loose_spans(text)})"))).alias("c"))
+    found = docs.select(F.explode(F.expr(voted(f"concat({base_spans(text)}, {loose_spans(text)})"))).alias("c"))
     cells = found.groupBy("c.k", "c.size", "c.votes").count().collect()  # at most 8 x 4 x 81 rows
     return Model(sorted((r["k"], r["size"], tuple(r["votes"]), r["count"]) for r in cells))
 
@@ -209,8 +208,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs = texts(docs, id_col, text_col)
     model = learn(docs)
     rows = docs.withColumn("base", F.expr(base_spans("text")))
-    extra = f"""transform(filter({voted("text", loose_spans("text"))}, c -> {model.probability()} >= {THRESHOLD}D
-        and not exists(base, b -> b.s < c.e and c.s < b.e)), c -> cast(named_struct('s', c.s, 'e', c.e, 'k', c.k, 'v', substring(text, c.s + 1, c.e - c.s)) as {SPAN}))"""
+    extra = f"""transform(filter({voted(loose_spans("text"))}, c -> {model.probability()} >= {THRESHOLD}D
+        and not exists(base, b -> b.s < c.e and c.s < b.e)), c -> cast(named_struct('s', c.s, 'e', c.e, 'k', c.k, 'v', c.v, 'b', '', 'a', '') as {SPAN}))"""
     return rows.select("doc_id", "base", F.expr(ordered(f"concat(base, {extra})", KINDS)).alias("spans"))
 
 

@@ -68,17 +68,17 @@ def _upper_tail(z: str) -> str:
 
 
 def candidates(text: str) -> str:
-    """array<struct<s, e, stratum, p>> of the candidate strings of a text."""
+    """array<struct<s, e, v, stratum, p>> of the candidate strings of a text."""
     pick = "case " + " ".join(f"when rlike(x.b, '^{p}$') then '{n}'" for n, p, _ in ENCODINGS) + " end"
     symbols = "case e.enc " + " ".join(f"when '{n}' then '{a}'" for n, _, a in ENCODINGS) + " end"
     raw = matches(text, CANDIDATE, "random", f"rlike({text}, '{CANDIDATE}')")
-    step1 = f"transform({raw}, x -> named_struct('s', x.s, 'e', x.e, 'b', rtrim('=', x.v)))"
-    step2 = f"transform(filter({step1}, x -> length(x.b) >= 20), x -> named_struct('s', x.s, 'e', x.e, 'b', x.b, 'enc', {pick}))"
+    step1 = f"transform({raw}, x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'b', rtrim('=', x.v)))"
+    step2 = f"transform(filter({step1}, x -> length(x.b) >= 20), x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'b', x.b, 'enc', {pick}))"
     enough = "length(e.b) >= case when e.enc in ('lower', 'upper') then 64 when e.enc in ('letters', 'decimal') or not rlike(e.b, '[0-9]') then 40 else 20 end"
-    step3 = f"""transform(filter({step2}, e -> e.enc is not null and {enough}), e -> named_struct('s', e.s, 'e', e.e, 'enc', e.enc, 'n', length(e.b),
+    step3 = f"""transform(filter({step2}, e -> e.enc is not null and {enough}), e -> named_struct('s', e.s, 'e', e.e, 'v', e.v, 'enc', e.enc, 'n', length(e.b),
         'a', cast(length({symbols}) as double),
         'x', transform(split(e.b, ''), c -> cast(instr({symbols}, translate(c, '-_', '+/')) - 1 as double))))"""
-    stats = f"""transform({step3}, t -> named_struct('s', t.s, 'e', t.e, 'enc', t.enc, 'n', t.n,
+    stats = f"""transform({step3}, t -> named_struct('s', t.s, 'e', t.e, 'v', t.v, 'enc', t.enc, 'n', t.n,
         'chi', t.a / t.n * aggregate(transform(array_distinct(t.x), d -> pow(size(filter(t.x, y -> y = d)), 2)), 0D, (q, y) -> q + y) - t.n,
         'df', t.a - 1,
         'high', cast(size(filter(t.x, y -> y >= t.a / 2)) as double),
@@ -91,8 +91,8 @@ def candidates(text: str) -> str:
     z_runs = f"if({var} > 0, abs(t.runs - {mean}) / sqrt({var}), 9D)"
     two = lambda z: f"least(1D, 2 * {_upper_tail(z)})"
     fisher = f"(-ln(greatest({_upper_tail(z_chi)}, 1e-300D)) - ln(greatest({two(z_runs)}, 1e-300D)) - ln(greatest({two('abs(t.serial)')}, 1e-300D)))"
-    return f"""transform(transform({stats}, t -> named_struct('s', t.s, 'e', t.e, 'stratum', concat(t.enc, ':', cast(floor(log2(t.n)) as int)), 'h', {fisher})),
-        t -> named_struct('s', t.s, 'e', t.e, 'stratum', t.stratum, 'p', exp(-t.h) * (1 + t.h + t.h * t.h / 2)))"""
+    return f"""transform(transform({stats}, t -> named_struct('s', t.s, 'e', t.e, 'v', t.v, 'stratum', concat(t.enc, ':', cast(floor(log2(t.n)) as int)), 'h', {fisher})),
+        t -> named_struct('s', t.s, 'e', t.e, 'v', t.v, 'stratum', t.stratum, 'p', exp(-t.h) * (1 + t.h + t.h * t.h / 2)))"""
 
 
 def thresholds(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
@@ -120,7 +120,7 @@ def with_spans(docs: DataFrame, levels: dict[str, float], text_col: str = "text"
     if levels:
         accept = "map(" + ", ".join(f"'{k}', {v}D" for k, v in sorted(levels.items())) + ")"
         extra = f"""transform(filter({candidates(text)}, c -> c.p >= coalesce(try_element_at({accept}, c.stratum), 2D)
-            and not exists(__base, b -> b.s < c.e and c.s < b.e)), c -> cast(named_struct('s', c.s, 'e', c.e, 'k', 'random', 'v', substring({text}, c.s + 1, c.e - c.s)) as {SPAN}))"""
+            and not exists(__base, b -> b.s < c.e and c.s < b.e)), c -> cast(named_struct('s', c.s, 'e', c.e, 'k', 'random', 'v', c.v, 'b', '', 'a', '') as {SPAN}))"""
         return out.withColumn("__spans", F.expr(ordered(f"concat(__base, {extra})", KINDS)))
     return out.withColumn("__spans", F.col("__base"))
 
@@ -133,8 +133,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every secret replaced by a mark."""
-    found = with_spans(docs, thresholds(docs, text_col), text_col)
-    return found.withColumn(text_col, F.expr(f"if(size(__spans) = 0, `{text_col}`, {masked(f'`{text_col}`', '__spans', mark)})")).drop("__base", "__spans")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    found = with_spans(whole, thresholds(whole))
+    new = F.expr(f"if(size(__spans) = 0, text, {masked('text', '__spans', mark)})")
+    return found.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
