@@ -14,6 +14,7 @@ from feedweave.config import Alignment, SourceFilter
 from feedweave.functions import scalars, similarity, text
 from feedweave.functions.text import DUCK, SPARK, Replacement, TitleRules
 from feedweave.operators import assign, fuse, linkage, rules, trace, upsert, workplan
+from feedweave.plans import download
 from feedweave.plans.merge import match_titles, merge
 from feedweave.sources import readers, sinks
 
@@ -525,6 +526,30 @@ def _rss(spark, sf):
     return p.select("p_partkey", sinks.rss_item(row).alias("item"))
 
 
+@query("negative_cache", "SELECT e.event_id, (e.user_id % 2 <> 0 AND e.user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND ts > TIMESTAMP '2024-01-24')) AS fetch FROM events e")
+def _negative_cache(spark, sf):
+    e = table(spark, sf, "events").withColumn("video_id", F.col("user_id"))
+    info = e.where("user_id % 2 = 0").select("video_id").distinct()
+    failed = e.where("event_type = 'error'").select("video_id", F.col("ts").alias("failed_at"))
+    return download.looked_up(e, info, failed, F.lit("2024-01-31").cast("timestamp")).select("event_id", "fetch")
+
+
+@query("sponsor_join", "WITH s AS (SELECT user_id, count(*) AS n, sum(value) AS v FROM events WHERE event_type = 'view' GROUP BY user_id) SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey::VARCHAR END AS video_id, coalesce(s.n, 0) AS n, round(coalesce(s.v, 0.0), 4) AS v FROM customer LEFT JOIN s ON s.user_id = c_custkey AND c_custkey % 2 = 0")
+def _sponsor_join(spark, sf):
+    segments = table(spark, sf, "events").where("event_type = 'view'").select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("pos"), F.lit(0.0).alias("start"), F.col("value").alias("end"))
+    rows = table(spark, sf, "customer").withColumn("content", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), "c_custkey")).otherwise("https://a.example/x.mp3"))
+    out = download.with_segments(rows, segments)
+    return out.select("c_custkey", "video_id", F.size("sponsor_segments").cast("bigint").alias("n"), F.round(F.aggregate("sponsor_segments", F.lit(0.0), lambda acc, x: acc + x["end"]), 4).alias("v"))
+
+
+@query("download_plan")
+def _download_plan(spark, sf):
+    refs, dls = sides_of_documents(spark, sf)
+    listing = dls.where("idx % 3 = 0").select(F.expr(text.create_slug("title")).alias("stem"), "content", F.lit(None).cast("string").alias("video_id")).withColumnRenamed("content", "source")
+    segments = spark.createDataFrame([], "video_id string, pos bigint, start double, end double")
+    return download.queue(merge([refs], [dls]), segments, listing, 1000).select("show", "idx", "title", "place")
+
+
 # SHOW is a reserved word of the other engine.
 for _name, _sql in ORACLE_SQL.items():
     ORACLE_SQL[_name] = re.sub(r'(?<!")\bshow\b(?!")', '"show"', _sql)

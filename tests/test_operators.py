@@ -145,3 +145,31 @@ def test_weights_change_scores(spark):
     refs, dls = [("a", "lost city haunting", "d", DAY)], [("b", "lost city haunting again here", "d", DAY + dt.timedelta(days=30))]
     light = Alignment(weights=Weights(date=0.01))
     assert scores_of(spark, refs, dls, alignment=light)[0, 0] > scores_of(spark, refs, dls)[0, 0]
+
+
+def test_scorer_registry(spark, monkeypatch):
+    from feedweave.operators import ports
+
+    frame = lambda t: spark.createDataFrame([("s", 0, t, t, "", None)], ROW)
+    result, differs = ports.shadow(frame("big moon"), frame("big moon"), "legacy", "exact")
+    assert result.count() == 1 and differs.count() in (0, 2)
+    monkeypatch.setenv("FEEDWEAVE_SCORER", "none")
+    with pytest.raises(ValueError, match="unknown scorer"):
+        ports.scorer()
+    assert isinstance(ports.scorer("kernel"), ports.Scorer)
+
+
+def test_download_and_cleanup_plans(spark):
+    from feedweave.plans import download
+    from feedweave.plans.merge import merge
+
+    row = ROW + ", content string, image string, duration double"
+    frame = lambda titles, p: spark.createDataFrame([("s", i, f"{p}{i}", t, "", None, f"http://x/{p}{i}.mp3", None, 1.0) for i, t in enumerate(titles)], row)
+    merged = merge([frame(["the big moon landing", "a river story"], "r")], [frame(["big moon landing", "a river story", "odd one out"], "d")])
+    listing = spark.createDataFrame([("big-moon-landing.mp3", "the-big-moon-landing", None, None), ("odd-one-out.mp3", "odd-one-out", None, None)], "name string, stem string, source string, video_id string")
+    none = spark.createDataFrame([], "video_id string, pos bigint, start double, end double")
+    assert [r["title"] for r in download.queue(merged, none, listing, 5).collect()] == ["a river story"]
+    assert [(r["object_name"], r["action"]) for r in download.cleanup(merged, listing).collect()] == [("odd-one-out.mp3", "delete")]
+    channels = spark.createDataFrame([("s", "S", "u", "", "", "")], "show string, title string, url string, description string, author string, subtitle string")
+    files = spark.createDataFrame([("s", 0, "a-river-story", "http://f/a.mp3")], "show string, idx bigint, stem string, url string")
+    assert "http://f/a.mp3" in download.feed(channels, files, merged.references).first()["xml"]
