@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedweave.config import CERTAINTY, CONTAINMENT_BONUS, MONTHS, OVERLAP_BONUS, RESCUE, WEAK_ANCHOR, Alignment
 from feedweave.functions import scalars, similarity, text
 from feedweave.functions.text import TitleRules
+from feedweave.operators.upsert import cut
 
 #: Numbers that must agree, in order.
 MARKERS = (r"\blistener\s+tales(?:\s+episode)?\s+(\d+)\b", r"\bpart\s+(\d+)\b", r"\b(?:volume|vol\.?)\s*(\d+)\b", r"\bepisode\s+(\d+)\b")
@@ -166,6 +167,9 @@ def score(pairs: DataFrame, alignment: Alignment = Alignment(), semantics: str =
 
 
 def align_scores(refs: DataFrame, dls: DataFrame, alignment: Alignment = Alignment(), rules: dict[str, TitleRules] | None = None, semantics: str = "legacy", all_pairs: bool = False) -> DataFrame:
-    """Scores above zero of two sets of rows (show, idx, id, title, description, pub_date)."""
-    a, b = features(refs, alignment, rules), features(dls, alignment, rules)
+    """Scores above zero of two sets of rows (show, idx, id, title, description, pub_date).
+
+    Features are materialised: three joins read them, and the optimizer would normalise again in each, and in their filters.
+    """
+    a, b = cut(features(refs, alignment, rules)), cut(features(dls, alignment, rules))
     return score(candidate_pairs(a, b, semantics, all_pairs or semantics in ("token_ratio", "exact")), alignment, semantics).where("score > 0")

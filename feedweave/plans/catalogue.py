@@ -276,7 +276,7 @@ def sides_of_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 SELECT a.show, a.doc_id AS ref_idx, b.doc_id AS dl_idx, 1.0 AS score FROM t a JOIN t b ON a.show = b.show AND a.n = b.n AND a.n <> '' WHERE a.side = 0 AND b.side = 1""")
 def _exact(spark, sf):
     refs, dls = sides_of_documents(spark, sf)
-    a, b = linkage.features(refs), linkage.features(dls)
+    a, b = upsert.cut(linkage.features(refs)), upsert.cut(linkage.features(dls))
     pairs = linkage.sides(a, "a").join(linkage.sides(b, "b"), "show").where((F.col("a_title_n") == F.col("b_title_n")) | (F.col("a_id") == F.col("b_id")))
     return linkage.score(pairs, semantics="exact").where("score > 0")
 
