@@ -106,11 +106,6 @@ def is_audio_url(x: str, d: Dialect = SPARK) -> str:
     return d.test(x, r"\.(" + "|".join(AUDIO) + ")")
 
 
-def first_path_part(x: str) -> str:
-    """Bucket of /bucket/prefix/...."""
-    return f"split_part(trim(BOTH '/' FROM {x}), '/', 1)"
-
-
 def byte_format(x: str, d: Dialect = SPARK) -> str:
     """A size in B to PB with one decimal, ties to even."""
     units = ("B", "KB", "MB", "GB", "TB")

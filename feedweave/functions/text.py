@@ -9,8 +9,6 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
-
 
 @dataclass(frozen=True)
 class Dialect:
@@ -206,8 +204,3 @@ def alignment_title(x: str, rules: TitleRules | None = None, d: Dialect = SPARK)
     """The form that titles are scored in: normalised text, of the normalised title where the show is known."""
     return normalize_text(x if rules is None else normalize_title(x, rules, d), d)
 
-
-def column(function, column_: str | Column, *args) -> Column:
-    """A text function applied to a column: column(create_slug, "title")."""
-    name = column_ if isinstance(column_, str) else column_._jc.toString()
-    return F.expr(function(f"`{name}`", *args))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedweave.config import SourceFilter
-from feedweave.functions.text import SPARK
+from feedweave.functions.scalars import AUDIO
 
 _DAYS = {"MO": 2, "TU": 3, "WE": 4, "TH": 5, "FR": 6, "SA": 7, "SU": 1}
 _FREQ = ("YEARLY", "MONTHLY", "WEEKLY", "DAILY")
@@ -198,8 +198,6 @@ def first_filled(*columns: str) -> Column:
 
 def first_enclosure(urls: Column) -> Column:
     """The first URL with an audio extension; null if there is none."""
-    from feedweave.functions.scalars import AUDIO
-
     return F.get(F.filter(urls, lambda u: u.rlike(r"\.(" + "|".join(AUDIO) + ")")), F.lit(0))
 
 
@@ -226,4 +224,4 @@ def enrich(episodes: DataFrame, info: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["Rule", "SPARK", "date_filter", "due", "enrich", "first_enclosure", "first_filled", "first_value", "fresh", "has_tag", "on_schedule", "public", "quarantine", "title_filter", "title_pattern"]
+__all__ = ["Rule", "date_filter", "due", "enrich", "first_enclosure", "first_filled", "first_value", "fresh", "has_tag", "on_schedule", "public", "quarantine", "title_filter", "title_pattern"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedweave.functions import scalars, text
+from feedweave.functions import text
 
 EPISODE_FIELDS = ("id", "title", "description", "source", "thumbnail", "upload_date")
 
@@ -89,4 +89,4 @@ def object_url(base: Column, bucket: Column, prefix: Column, name: Column) -> Co
     return F.concat_ws("/", F.regexp_replace(base, "/+$", ""), *[F.nullif(x, F.lit("")) for x in (bucket, prefix, name)])
 
 
-__all__ = ["bundles", "deletions", "mime", "object_url", "report", "rss_documents", "rss_item", "scalars", "source_counts", "unmatched_report", "xml"]
+__all__ = ["bundles", "deletions", "mime", "object_url", "report", "rss_documents", "rss_item", "source_counts", "unmatched_report", "xml"]
