@@ -29,6 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,7 +40,8 @@ DEPTH = 5
 MODEL_ROWS = 1_500_000
 COMMON = 1 << 17
 END = 10
-_CHUNK = 1 << 21
+#: Bytes of text that are scored or counted together.
+_CHUNK = 1 << 19
 
 
 def tokens(text: str) -> list[bytes]:
@@ -62,7 +64,11 @@ def grams(data: np.ndarray, depth: int) -> np.ndarray:
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the KT block probability of a ones and b zeros."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - np.log(np.pi)
+    out = np.empty(len(a))
+    for at in range(0, len(a), 1 << 16):
+        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        out[at : at + (1 << 16)] = _lgamma(x + 0.5) + _lgamma(y + 0.5) - _lgamma(x + y + 1.0) - np.log(np.pi)
+    return out
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -89,6 +95,28 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[first], *(np.add.reduceat(v[order], first) for v in values))
 
 
+def _decisions(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted node keys of the eight decisions of each string's last byte, with counts of ones and of zeros."""
+    symbol, context = keys & np.uint64(255), (keys >> np.uint64(8)) << np.uint64(8)
+    keys_, ones_, zeros_ = [], [], []
+    for bit in range(8):
+        prefix = (np.uint64(1) << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
+        one = ((symbol >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
+        one *= counts
+        for part, got in zip((keys_, ones_, zeros_), _summed(context | prefix, one, counts - one), strict=True):
+            part.append(got)
+    key = np.concatenate(keys_)
+    del keys_, symbol, context
+    order = np.argsort(key).astype(np.uint32)
+    key = key[order]
+    ones = np.concatenate(ones_)
+    del ones_
+    ones = ones[order]
+    zeros = np.concatenate(zeros_)
+    del zeros_
+    return key, ones, zeros[order]
+
+
 class Tree:
     """The weighted context trees of counted strings.
 
@@ -98,48 +126,50 @@ class Tree:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH, shorter: tuple[np.ndarray, np.ndarray] | None = None):
         """shorter: the counts of all strings one byte shorter, where keys has a part of the contexts only."""
-        self.depth = depth
-        nodes = []
+        self.depth, self.scorer = depth, None
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [None] * (depth + 1)
         keys, counts = keys.astype(np.uint64), counts.astype(np.float64)
-        for d in range(depth, -1, -1):
+        self.strings = keys
+        below = None  # (parent keys, summed log Pw) of the level before
+        for d in range(depth, -1, -1):  # one level at a time: only keys and counts of strings are carried on
             if d == depth - 1 and shorter is not None:
                 keys, counts = shorter[0].astype(np.uint64), shorter[1].astype(np.float64)
             elif d < depth:
                 keys, counts = _summed(keys & np.uint64((1 << (8 * (d + 1))) - 1), counts)
-            k, c = keys, counts
-            symbol, context = k & np.uint64(255), k >> np.uint64(8)
-            parts = []
-            for bit in range(8):
-                prefix = (np.uint64(1) << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
-                one = ((symbol >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
-                parts.append(_summed((context << np.uint64(8)) | prefix, c * one, c * (1 - one)))
-            node = np.concatenate([p[0] for p in parts])
-            order = np.argsort(node)
-            nodes.append((node[order], np.concatenate([p[1] for p in parts])[order], np.concatenate([p[2] for p in parts])[order]))
-        nodes.reverse()
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [None] * (depth + 1)
-        below = None  # (parent keys, summed log Pw)
-        for d in range(depth, -1, -1):
-            key, ones, zeros = nodes[d]
-            estimate = log_kt(ones, zeros)
-            if below is None:
-                stop = np.ones(len(key))
-                weighted = estimate
-            else:
-                children = np.zeros(len(key))
-                held = np.zeros(len(key), bool)
+            key, ones, zeros = _decisions(keys, counts)
+            weighted = log_kt(ones, zeros)
+            stop = np.ones(len(key), np.float32)
+            if below is not None:
                 at = np.searchsorted(key, below[0])
-                children[at], held[at] = below[1], True
-                weighted = np.where(held, np.logaddexp(estimate, children) - np.log(2), estimate)
-                stop = np.where(held, np.exp(estimate - np.log(2) - weighted), 1.0)
-            self.levels[d] = (key, stop.astype(np.float32), ((ones + 0.5) / (ones + zeros + 1)).astype(np.float32))
+                own = weighted[at] - np.log(2)
+                joint = np.logaddexp(own, below[1] - np.log(2))
+                stop[at] = np.exp(own - joint)
+                weighted[at] = joint
+            ones += 0.5
+            zeros += ones
+            zeros += 0.5
+            ones /= zeros
+            self.levels[d] = (key, stop, ones.astype(np.float32))
+            del ones, zeros, stop
             if d:
-                low = (np.uint64(1) << np.uint64(8 * (d - 1) + 8)) - np.uint64(1)
-                parent = key & low
-                below = _summed(parent, weighted)
-        self.strings = keys_of(nodes[depth])
+                below = _summed(key & np.uint64((1 << (8 * d)) - 1), weighted)
         self.values = self.slow(self.strings).astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        """Packed for the broadcast: differences of the sorted keys, compressed."""
+        pack = lambda a: (a.dtype.str, zstandard.ZstdCompressor(level=3).compress(a.tobytes()))
+        keys = lambda k: pack(np.diff(k, prepend=np.uint64(0)))
+        return {"depth": self.depth, "levels": [(keys(k), pack(s), pack(p)) for k, s, p in self.levels], "strings": keys(self.strings), "values": pack(self.values)}
+
+    def __setstate__(self, state: dict) -> None:
+        unpack = lambda x: np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1]), x[0])
+        keys = lambda x: np.cumsum(unpack(x), dtype=np.uint64)
+        self.depth, self.scorer = state["depth"], None
+        self.levels = [(keys(k), unpack(s), unpack(p)) for k, s, p in state["levels"]]
+        key, _, one = self.levels[-1]
+        self.levels[-1] = (key, np.broadcast_to(np.float32(1), len(key)), one)  # nothing lies below the deepest level
+        self.strings, self.values = keys(state["strings"]), unpack(state["values"])
+
     def slow(self, strings: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each string after the others."""
         total = np.zeros(len(strings))
@@ -173,21 +203,20 @@ class Tree:
         return total
 
 
-def keys_of(nodes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """The strings (context and byte) with counts, from the nodes of the deepest level."""
-    key, ones, zeros = nodes
-    prefix = key & np.uint64(255)
-    last = prefix >= 128  # the eighth decision: seven bits are known
-    base = ((key[last] >> np.uint64(8)) << np.uint64(8)) | ((prefix[last] & np.uint64(127)) << np.uint64(1))
-    return np.sort(np.concatenate([base[zeros[last] > 0], base[ones[last] > 0] | np.uint64(1)]))
+def scorer_of(tree) -> Scorer:
+    """The scorer of a broadcast tree: built once in a worker, kept with the tree, which drops what only its table needs."""
+    if tree.value.scorer is None:
+        tree.value.scorer = Scorer(tree.value)
+        tree.value.strings = tree.value.values = None
+    return tree.value.scorer
 
 
 class Scorer:
     """log10 probabilities of strings: an open-addressing table in front of the tree, which also keeps what the tree computes."""
 
-    def __init__(self, tree: Tree, spare: int = 1 << 20):
+    def __init__(self, tree: Tree, spare: int = 1 << 19):
         self.tree = tree
-        self.bits = max(10, int(2 * (len(tree.strings) + spare)).bit_length())
+        self.bits = max(10, int(1.4 * (len(tree.strings) + spare)).bit_length())
         self.key = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.value = np.zeros(1 << self.bits, np.float32)
         self.room = len(tree.strings) + spare
@@ -369,7 +398,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
     denominator = n + 0.5 * (v + 1)
 
     def run(batches):
-        scorer, seen = Scorer(tree.value), known.value
+        scorer, seen = scorer_of(tree), known.value
         number: dict[bytes, int] = {}  # hashes of common words, by word
         base = float(np.log10(0.5 / denominator))
         part_id = TaskContext.get().partitionId() << 36
