@@ -1,16 +1,22 @@
 """Main text of web pages by equivalence-class template deduction.
 
-The tokens of a page are its tags (name with class and id) and, outside articles, its text blocks.  A token's occurrence
-vector says how often each page of the host has it.  Tokens with equal vectors form an equivalence class; classes that
-occur in at least SUPPORT of the host's pages (and three of them) belong to the host's template.  Vectors are never
-materialised: each page draws a random 64-bit number and a token's vector is represented by the sum of count * number
-modulo 2**64, so classes come from one grouped sum, however many pages a host has.
-
-A page is then read against its host's template.  The classes that occur once in every page are the skeleton, if the
-page has their tokens in the order in which they nest; between consecutive skeleton tokens lie the slots.  A slot inside
-a template element of a boilerplate role (nav, footer, class "ad", ...) is dropped with all it holds; of the others, those in an
-article or main element are the text; where the page has none, all blocks are that are not fixed text of the template.
-A page that does not fit its template, or whose host has too few pages for one, is read by its own elements alone.
+The tokens of a page are its tags (name with class and id) and, outside articles, its text blocks, each told apart by the
+open elements around it.  A token's occurrence vector says how often each page of the host has it.  Tokens with equal
+vectors form an equivalence class; classes that occur in at least SUPPORT of the host's pages (and three of them) are
+candidates.  Vectors are never materialised: each page draws a random 64-bit number and a token's vector is represented
+by the sum of count * number modulo 2**64, so classes come from one grouped sum, however many pages a host has.
+
+A class of two or more tokens is ordered on a page if the page repeats them in one order, and nested if whatever
+opens between two of its tokens also closes there.  It belongs to the template in the order that SUPPORT of its pages
+agree on.  The template is read off a page with a stack: a slot is the place between two consecutive tokens of a class,
+inside the slots of the classes around it, and every text block lies in one.
+
+Elements that say what they are (article, main; nav, footer, class "ad", ...) are evidence on the slots: the characters
+of a slot on all pages that fit are counted as article, boilerplate or unmarked.  A slot that is chiefly article is
+text with all it holds but a block's own boilerplate, one that is chiefly boilerplate is dropped with all it holds.  In
+the others a page's own marks decide: its article blocks, and if the page has no article text at all, the unmarked
+blocks that are not fixed text of the template, those of slots that hold articles on other pages before all others.  A page does not fit if it has the template's tokens in another order or
+nesting, or not those of every page; such a page, or one whose host has too few, is read by its own elements alone.
 
 Defined results: null or empty html gives an empty text; a null or unusual url counts as a host of its own kind (''); equal
 pages are extracted alike; unclosed elements end where HTML closes them; repeated rows give repeated rows; an empty
@@ -19,6 +25,7 @@ table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 
@@ -57,17 +64,28 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+@functools.lru_cache(1 << 16)
+def deeper(path: int, tag: str) -> int:
+    """The hash of a tag inside a path."""
+    return xxhash.xxh3_64_intdigest(f"{path}{tag}")
+
+
+@functools.lru_cache(1 << 16)
+def boilerplate(marks: str) -> bool:
+    return bool(BOILERPLATE.search(marks))
+
+
 class Page:
     """Tags and text blocks of a page, in order.
 
-    events: (signature, None) of a tag, or (None, block number); blocks: [text, in content, dropped].
+    events: (path, None) of a tag, or (path, block number); blocks: [text, in content, dropped].
     """
 
     def __init__(self, source: str):
-        self.events: list[tuple[str | None, int | None]] = []
+        self.events: list[tuple[int, int | None]] = []
         self.blocks: list[list] = []
         self.has_content = False
-        self._stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, in content, dropped
+        self._stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # name, in content, dropped, path
         self._text: list[str] = []
         self._read(source)
 
@@ -76,8 +94,8 @@ class Page:
             text = " ".join("".join(self._text).split())
             self._text = []
             if text:
-                _, content, dropped = self._stack[-1]
-                self.events.append((None, len(self.blocks)))
+                _, content, dropped, path = self._stack[-1]
+                self.events.append((path, len(self.blocks)))
                 self.blocks.append([text, content, dropped])
 
     def _open(self, name: str, attributes: str):
@@ -89,26 +107,27 @@ class Page:
             self._flush()
         named = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attributes)} if attributes else {}
         marks = " ".join(named.values())
-        self.events.append((f"<{name} {marks}".rstrip() + ">", None))
+        _, content, dropped, path = self._stack[-1]
+        path = deeper(path, f"<{name} {marks}".rstrip() + ">")
+        self.events.append((path, None))
         if name in VOID:
             if name in ("br", "hr"):
                 self._text.append(" ")
             return
-        _, content, dropped = self._stack[-1]
-        dropped = dropped or name in DROPPED and not (name == "header" and content) or bool(marks and name not in ("html", "body", "article", "main") and BOILERPLATE.search(marks))
+        dropped = dropped or name in DROPPED and not (name == "header" and content) or bool(marks) and name not in ("html", "body", "article", "main") and boilerplate(marks)
         if name in CONTENT and not dropped:
             content = self.has_content = True
-        self._stack.append((name, content, dropped))
+        self._stack.append((name, content, dropped, path))
 
     def _close(self, name: str, silent: bool = False):
         for depth in range(len(self._stack) - 1, 0, -1):
             if self._stack[depth][0] == name:
                 if name in BLOCK or any(n in BLOCK for n, *_ in self._stack[depth:]):
                     self._flush()
+                if not silent:
+                    self.events.append((deeper(self._stack[depth][3], f"</{name}>"), None))
                 del self._stack[depth:]
                 break
-        if not silent:
-            self.events.append((f"</{name}>", None))
 
     def _read(self, source: str):
         at = 0
@@ -126,7 +145,7 @@ class Page:
             if m[1]:
                 self._close(name)
             elif name in RAW and not m[3].rstrip().endswith("/"):
-                self.events.append((f"<{name}>", None))
+                self.events.append((deeper(self._stack[-1][3], f"<{name}>"), None))
                 end = re.compile(f"</{re.escape(name)}\\b[^>]*>?", re.I).search(source, at)
                 at = end.end() if end else len(source)
             else:
@@ -134,30 +153,101 @@ class Page:
         self._flush()
 
     def tokens(self) -> list[int]:
-        """Hashes of the template tokens, in order: tags, and text blocks outside content."""
-        out = []
-        for tag, block in self.events:
-            if tag is not None:
-                out.append(xxhash.xxh3_64_intdigest(tag) >> 1)
-            elif not self.blocks[block][1]:
-                out.append(xxhash.xxh3_64_intdigest("T:" + self.blocks[block][0]) >> 1)
-        return out
-
-    def text(self, template: dict[int, tuple[int, bool]] | None = None) -> str:
-        """template: token -> (class, occurs once in every page)."""
-        if self.has_content:
-            return "\n".join(t for t, content, dropped in self.blocks if content and not dropped)
-        fixed = set()
-        if template and self.fits(template):
-            for i, (t, _, _) in enumerate(self.blocks):
-                if xxhash.xxh3_64_intdigest("T:" + t) >> 1 in template:
-                    fixed.add(i)
-        return "\n".join(t for i, (t, _, dropped) in enumerate(self.blocks) if not dropped and i not in fixed)
-
-    def fits(self, template: dict[int, tuple[int, bool]]) -> bool:
-        """Whether the skeleton's tokens all occur, each once."""
-        seen = [t for t in self.tokens() if template.get(t, (0, False))[1]]
-        return len(seen) == len(set(seen)) == sum(once for _, once in template.values())
+        """Hashes of the template tokens, in order: tags (even), and text blocks outside content (odd)."""
+        return [t for t, _ in self.marked() if t is not None]
+
+    def marked(self):
+        """(token or None, block number or None) of every event."""
+        for path, block in self.events:
+            if block is None:
+                yield path >> 2 << 1, None
+            elif self.blocks[block][1]:
+                yield None, block
+            else:
+                yield xxhash.xxh3_64_intdigest(f"{path}T:{self.blocks[block][0]}") >> 2 << 1 | 1, block
+
+    def orders(self, classes: dict[int, list[int]]) -> dict[int, list[int] | None]:
+        """The order of each class that occurs on the page; None where it is not ordered or not nested here."""
+        of = {t: c for c, members in classes.items() for t in members}
+        found: dict[int, list[int]] = {}
+        for t in self.tokens():
+            if t in of:
+                found.setdefault(of[t], []).append(t)
+        out: dict[int, list[int] | None] = {}
+        for c, seen in found.items():
+            size = len(classes[c])
+            order = seen[:size]
+            out[c] = order if len(set(order)) == size and seen == order * (len(seen) // size) else None
+        _, _, broken = self.slots(Template([(c, order, False) for c, order in out.items() if order]))
+        return {c: None if c in broken else order for c, order in out.items()}
+
+    def slots(self, template: Template) -> tuple[list[tuple[tuple[int, ...], bool]], dict[int, int], set[int]]:
+        """(slots from the outermost, fixed text) of each block; how often each class is complete; the classes out of order or nesting."""
+        stack: list[list[int]] = []
+        done: dict[int, int] = {}
+        broken: set[int] = set()
+        found = []
+        for t, block in self.marked():
+            at = template.place.get(t)
+            if at is not None:
+                c, i, size = at
+                if i == 0:
+                    stack.append([c, 0, 0])
+                else:
+                    inside = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == c), None)
+                    if inside is None or stack[inside][1] != i - 1:
+                        broken.add(c)
+                        inside = None
+                    else:
+                        broken.update(other for other, *_ in stack[inside + 1 :])
+                        del stack[inside + 1 :]
+                        stack[-1][1] = i
+                if i == 0 or inside is not None:
+                    if i == size - 1:
+                        stack.pop()
+                        done[c] = done.get(c, 0) + 1
+                    else:
+                        stack[-1][2] = xxhash.xxh3_64_intdigest(f"{stack[-2][2] if len(stack) > 1 else 0}:{c}:{i}") >> 1
+            if block is not None:
+                found.append((tuple(slot for *_, slot in stack), t in template.fixed))
+        broken.update(c for c, *_ in stack)
+        return found, done, broken
+
+    def read(self, template: Template) -> list[tuple[tuple[int, ...], bool]] | None:
+        """(slots from the outermost, fixed text) of each block, or None if the page does not fit the template."""
+        found, done, broken = self.slots(template)
+        return None if broken or any(done.get(c) != 1 for c in template.skeleton) else found
+
+    def text(self, template: Template | None = None, roles: dict[int, str] | None = None) -> str:
+        """roles: slot -> "text", "dropped" or "holds" (articles, on other pages); the page's own marks decide in other slots."""
+        found = self.read(template) if template else None
+        if found is None:
+            return "\n".join(t for t, content, dropped in self.blocks if not dropped and (content or not self.has_content))
+        article, near, loose = [], [], []
+        for (t, content, dropped), (slots, fixed) in zip(self.blocks, found, strict=True):
+            role = roles.get(slots[-1] if slots else 0)
+            if dropped or fixed or role == "dropped":
+                continue
+            if content or role == "text":
+                article.append(t)
+            else:
+                loose.append(t)
+                if role == "holds":
+                    near.append(t)
+        return "\n".join(article or near or loose)
+
+
+class Template:
+    """The ordered, nested classes of a host.
+
+    place: token -> (class, position in its order, tokens of the class); skeleton: classes that every page has once;
+    fixed: text tokens.
+    """
+
+    def __init__(self, classes: list[tuple[int, list[int], bool]], fixed=()):
+        self.place = {t: (c, i, len(order)) for c, order, _ in classes for i, t in enumerate(order)}
+        self.skeleton = [c for c, _, once in classes if once]
+        self.fixed = frozenset(fixed)
 
 
 def occurrence_sums(pages: DataFrame) -> DataFrame:
@@ -195,14 +285,96 @@ def occurrence_sums(pages: DataFrame) -> DataFrame:
     return part.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), F.sum("total").alias("total"), F.expr("try_cast(pmod(sum(cast(vector as decimal(38,0))), 18446744073709551616BD) as decimal(20,0))").alias("vector"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, tokens, classes, once: the template of each host with enough pages."""
+def candidates(pages: DataFrame) -> DataFrame:
+    """host, classes (class, members, once): the equivalence classes of each host with enough pages."""
     sums = cut(occurrence_sums(pages))
     sizes = sums.where("token = 0").select("host", F.col("n_pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     held = sums.where("token <> 0").join(sizes, "host").where(F.col("n_pages") >= F.greatest(F.lit(LEAST_PAGES), SUPPORT * F.col("pages")))
-    classes = held.groupBy("host", "vector", "n_pages", "total").agg(F.collect_list("token").alias("members"), F.first("pages").alias("pages"))
-    numbered = classes.select("host", F.struct("members", F.xxhash64("vector").cast("bigint").alias("class"), ((F.col("total") == F.col("pages")) & (F.col("n_pages") == F.col("pages"))).alias("once")).alias("c"))
-    return numbered.groupBy("host").agg(F.sort_array(F.collect_list("c")).alias("template"))
+    classes = held.groupBy("host", "vector", "n_pages", "total").agg(F.sort_array(F.collect_list("token")).alias("members"), F.first("pages").alias("pages"))
+    numbered = classes.select("host", F.struct(F.xxhash64("vector", "n_pages", "total").alias("class"), "members", ((F.col("total") == F.col("pages")) & (F.col("n_pages") == F.col("pages"))).alias("once")).alias("c"))
+    return numbered.groupBy("host").agg(F.sort_array(F.collect_list("c")).alias("classes"))
+
+
+def beside(rows: DataFrame, known: DataFrame, size: F.Column) -> DataFrame:
+    """rows with what is known of their host, if anything."""
+    total = known.select(F.sum(size)).first()[0] or 0
+    return rows.join(F.broadcast(known) if total <= BROADCAST_TOKENS else known, "host", "left")
+
+
+def members(name: str) -> F.Column:
+    return F.aggregate(name, F.lit(0), lambda n, c: n + F.size(c["members"]))
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """host, ordered (class, members in order, once), fixed: the template of each host with enough pages."""
+    found = cut(candidates(rows))
+
+    def run(batches):
+        known: tuple = (None, None)
+        have: dict[tuple, int] = {}
+        for batch in batches:
+            for host, source, classes in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("classes"), strict=True):
+                if known[0] != host:
+                    known = (host, {c["class"]: c["members"] for c in classes.as_py() if len(c["members"]) > 1})
+                for c, order in Page(source.as_py()).orders(known[1]).items():
+                    key = (host, c, tuple(order or ()))
+                    have[key] = have.get(key, 0) + 1
+            if len(have) >= FLUSH // 10:
+                yield flush(have)
+                have = {}
+        if have:
+            yield flush(have)
+
+    def flush(have):
+        hosts, classes, orders = zip(*have, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(classes, pa.int64()), pa.array(orders, pa.list_(pa.int64())), pa.array(have.values(), pa.int64())], ["host", "class", "order", "n"])
+
+    joined = beside(rows, found, members("classes")).where("classes is not null").select("host", "html", "classes")
+    votes = heavy_map(joined, run, "host string, class bigint, order array<bigint>, n bigint").groupBy("host", "class", "order").agg(F.sum("n").alias("n"))
+    best = votes.groupBy("host", "class").agg(F.sum("n").alias("pages"), F.max(F.when(F.size("order") > 0, F.struct("n", "order"))).alias("top"))
+    agreed = best.where((F.col("top.n") >= SUPPORT * F.col("pages")) & (F.col("top.n") >= LEAST_PAGES)).select("host", "class", F.col("top.order").alias("order"))
+    each = found.select("host", F.explode("classes").alias("c"))
+    ordered = each.join(agreed.withColumnRenamed("host", "h"), (F.col("host") == F.col("h")) & (F.col("c.class") == F.col("class")), "left")
+    kept = F.collect_list(F.when(F.col("order").isNotNull(), F.struct("class", F.col("order").alias("members"), F.col("c.once").alias("once"))))
+    fixed = F.flatten(F.collect_list(F.filter("c.members", lambda t: t % 2 == 1)))
+    return ordered.groupBy("host").agg(F.sort_array(kept).alias("ordered"), F.sort_array(fixed).alias("fixed"))
+
+
+def template_of(ordered, fixed) -> Template:
+    return Template([(c["class"], c["members"], c["once"]) for c in ordered.as_py()], fixed.as_py())
+
+
+def slot_roles(joined: DataFrame) -> DataFrame:
+    """host, roles (slot, role): the slots that are chiefly article or boilerplate, or hold chiefly articles, of rows (host, html, ordered, fixed)."""
+
+    def run(batches):
+        known: tuple = (None, None)
+        have: dict[tuple[str, int], list[int]] = {}
+        for batch in batches:
+            for host, source, ordered, fixed in zip(batch.column("host").to_pylist(), *(batch.column(c) for c in ("html", "ordered", "fixed")), strict=True):
+                if known[0] != host:
+                    known = (host, template_of(ordered, fixed))
+                page = Page(source.as_py())
+                for (text, content, dropped), (slots, is_fixed) in zip(page.blocks, page.read(known[1]) or (), strict=False):
+                    if is_fixed and not dropped:
+                        continue
+                    kind = 1 if dropped else 0 if content else 2
+                    have.setdefault((host, slots[-1] if slots else 0), [0, 0, 0, 0])[kind] += len(text)
+                    for outer in slots[:-1] if kind == 0 else ():
+                        have.setdefault((host, outer), [0, 0, 0, 0])[3] += len(text)
+            if len(have) >= FLUSH:
+                yield flush(have)
+                have = {}
+        if have:
+            yield flush(have)
+
+    def flush(have):
+        hosts, slots = zip(*have, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*have.values(), strict=True))], ["host", "slot", "article", "boilerplate", "unmarked", "inside"])
+
+    sums = heavy_map(joined, run, "host string, slot bigint, article bigint, boilerplate bigint, unmarked bigint, inside bigint").groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("article", "boilerplate", "unmarked", "inside")])
+    role = F.when(F.expr("article > boilerplate + unmarked"), "text").when(F.expr("boilerplate > article + unmarked"), "dropped").when(F.expr("article + inside > boilerplate + unmarked"), "holds")
+    return sums.withColumn("role", role).where("role is not null").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "role"))).alias("roles"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -211,21 +383,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
     )
     found = cut(templates(rows.select("page_id", "host", "html")))
-    size = found.select(F.sum(F.aggregate("template", F.lit(0), lambda n, c: n + F.size(c["members"])))).first()[0] or 0
-    joined = rows.join(F.broadcast(found) if size <= BROADCAST_TOKENS else found, "host", "left").select("page_id", "url", "host", "html", "template")
+    placed = beside(rows, found, members("ordered") + F.size("fixed"))
+    roles = cut(slot_roles(placed.where("ordered is not null").select("host", "html", "ordered", "fixed")))
+    joined = beside(placed, roles, F.size("roles")).select("page_id", "url", "host", "html", "ordered", "fixed", "roles")
 
     def run(batches):
-        known: tuple = (None, None)
+        known: tuple = (None, None, None)
         for batch in batches:
             texts = []
-            for host, source, classes in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("template"), strict=True):
+            for host, source, ordered, fixed, slots in zip(batch.column("host").to_pylist(), *(batch.column(c) for c in ("html", "ordered", "fixed", "roles")), strict=True):
                 page = Page(source.as_py())
-                if page.has_content or not classes.is_valid:
+                if not ordered.is_valid:
                     texts.append(page.text())
                     continue
                 if known[0] != host:
-                    known = (host, {t: (c["class"], c["once"]) for c in classes.as_py() for t in c["members"]})
-                texts.append(page.text(known[1]))
+                    known = (host, template_of(ordered, fixed), {x["slot"]: x["role"] for x in slots.as_py() or ()})
+                texts.append(page.text(known[1], known[2]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     out = heavy_map(joined, run, "page_id bigint, url string, text string")

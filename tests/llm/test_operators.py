@@ -137,6 +137,34 @@ def test_html(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_html_slots_decide(spark):
+    """Articles of other pages tell the slot; boilerplate marks of other pages drop it; a page out of order reads by itself."""
+    page = "<html><body><div id=a>{a}</div><div id=b>{b}</div><div id=c>{c}</div></body></html>"
+    full = [page.format(a=f"<article>story {i}</article>", b=f"count {i}", c=f"<p class=share>send {i}</p>") for i in range(6)]
+    bare = [page.format(a=f"story {i}", b=f"count {i}", c=f"<p>send {i}</p>") for i in (6, 7)]
+    swapped = "<html><body><div id=b>count 8</div><div id=a>story 8</div><div id=c></div></body></html>"
+    marks = "<html><body><div id=a>{a}</div><div id=b><{t}>menu {i}</{t}></div></body></html>"
+    mixed = [marks.format(a=f"text {i}", t="p", i=f"of many words {i}") for i in range(9)]
+    pages = [(i, "http://s.org/", h) for i, h in enumerate([*full, *bare, swapped])] + [(20 + i, "http://t.org/", h) for i, h in enumerate(mixed)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"story {i}" for i in range(8)]
+    assert got[8] == "count 8\nstory 8"
+    assert got[20] == "text 0\nmenu of many words 0"
+
+
+def test_html_classes_are_ordered_and_nested():
+    nested = html_extract.Page("<div><ul><li>a</li><li>b</li></ul></div>")
+    tags = [t for t in nested.tokens() if t % 2 == 0]
+    outer, item = [tags[0], tags[1], tags[-2], tags[-1]], [tags[2], tags[3]]
+    assert nested.orders({1: sorted(outer), 2: sorted(item)}) == {1: outer, 2: item}
+    crossed = {1: sorted([tags[0], tags[-2]]), 2: sorted([tags[1], tags[-1]])}
+    assert None in nested.orders(crossed).values()
+    template = html_extract.Template([(1, outer, True), (2, item, False)])
+    a, b = (slots for slots, _ in nested.read(template))
+    assert a == b and len(a) == 2
+    assert html_extract.Page("<ul><li>a</li></ul>").read(template) is None
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = [(i, SAY(60, rng)) for i in range(300)]
