@@ -8,9 +8,11 @@ score is the code length of the text under the mixture.  A context never seen in
 suffix does.
 
 Training: each task counts the (DEPTH + 1)-byte strings of its documents, a grouped sum joins the counts, and the tree
-is their marginals.  Where there are more than MODEL_ROWS different strings, the tree has all contexts of the largest
-depth whose strings fit (strings of two bytes always do), and of the next depth those seen at least t times, with t the
-least power of two for which their strings fit.  The model is therefore of bounded size and is sent to every executor.
+is their marginals, all of them at every size.  No process holds the tree.  Everything below depth TOP depends on the TOP
+bytes before the symbol only, so the strings are put into shards by those bytes; each shard builds its own levels and
+hands up the sums of its nodes' log probabilities, from which the driver builds the levels above TOP (at most 256 ** TOP
+strings).  The documents go into blocks of about BLOCK characters, by a hash; the different strings of a block are sent
+to the shards, which look up or compute their probabilities, and these are brought together with the block's documents.
 
 Word counts for the base score are not bounded: words with a share of at least 1 / COMMON of all training tokens (hence
 at most COMMON of them) are looked up where the documents are, all others are counted per document and joined by a
@@ -28,16 +30,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedweave.llm.common import cut, heavy_map, mix, table, texts
+from feedweave.session import ship
 
 FOLDS, HELD_OUT = 5, 1
 DEPTH = 5
-MODEL_ROWS = 1_500_000
+TOP = 2
+#: Strings of the model in a shard, about, and characters of the documents in a block, about.
+SHARD_ROWS, BLOCK = 500_000, 1 << 25
 COMMON = 1 << 17
 END = 10
 #: Bytes of text that are scored or counted together.
@@ -124,17 +129,14 @@ class Tree:
     of stopping at the node, and its estimate of a one.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH, shorter: tuple[np.ndarray, np.ndarray] | None = None):
-        """shorter: the counts of all strings one byte shorter, where keys has a part of the contexts only."""
-        self.depth, self.scorer = depth, None
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH, least: int = 0, below: tuple[np.ndarray, np.ndarray] | None = None):
+        """Levels depth to least.  below: (parent keys, summed log Pw) of the level under the deepest; for least > 0, handed up as .below."""
+        self.depth = depth
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [None] * (depth + 1)
         keys, counts = keys.astype(np.uint64), counts.astype(np.float64)
         self.strings = keys
-        below = None  # (parent keys, summed log Pw) of the level before
-        for d in range(depth, -1, -1):  # one level at a time: only keys and counts of strings are carried on
-            if d == depth - 1 and shorter is not None:
-                keys, counts = shorter[0].astype(np.uint64), shorter[1].astype(np.float64)
-            elif d < depth:
+        for d in range(depth, least - 1, -1):  # one level at a time: only keys and counts of strings are carried on
+            if d < depth:
                 keys, counts = _summed(keys & np.uint64((1 << (8 * (d + 1))) - 1), counts)
             key, ones, zeros = _decisions(keys, counts)
             weighted = log_kt(ones, zeros)
@@ -153,22 +155,13 @@ class Tree:
             del ones, zeros, stop
             if d:
                 below = _summed(key & np.uint64((1 << (8 * d)) - 1), weighted)
-        self.values = self.slow(self.strings).astype(np.float32)
-
-    def __getstate__(self) -> dict:
-        """Packed for the broadcast: differences of the sorted keys, compressed."""
-        pack = lambda a: (a.dtype.str, zstandard.ZstdCompressor(level=3).compress(a.tobytes()))
-        keys = lambda k: pack(np.diff(k, prepend=np.uint64(0)))
-        return {"depth": self.depth, "levels": [(keys(k), pack(s), pack(p)) for k, s, p in self.levels], "strings": keys(self.strings), "values": pack(self.values)}
-
-    def __setstate__(self, state: dict) -> None:
-        unpack = lambda x: np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1]), x[0])
-        keys = lambda x: np.cumsum(unpack(x), dtype=np.uint64)
-        self.depth, self.scorer = state["depth"], None
-        self.levels = [(keys(k), unpack(s), unpack(p)) for k, s, p in state["levels"]]
-        key, _, one = self.levels[-1]
-        self.levels[-1] = (key, np.broadcast_to(np.float32(1), len(key)), one)  # nothing lies below the deepest level
-        self.strings, self.values = keys(state["strings"]), unpack(state["values"])
+        self.below = below
+        self.values = None if least else self.slow(self.strings).astype(np.float32)
+
+    def under(self, top: Tree) -> Tree:
+        """The tree with the levels of top above its own."""
+        self.levels[: top.depth + 1] = top.levels
+        return self
 
     def slow(self, strings: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each string after the others."""
@@ -203,18 +196,41 @@ class Tree:
         return total
 
 
-def scorer_of(tree) -> Scorer:
-    """The scorer of a broadcast tree: built once in a worker, kept with the tree, which drops what only its table needs."""
-    if tree.value.scorer is None:
-        tree.value.scorer = Scorer(tree.value)
-        tree.value.strings = tree.value.values = None
-    return tree.value.scorer
+def pack(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted keys (as differences) and their values, compressed."""
+    data = values.dtype.str.encode().ljust(4) + np.diff(keys, prepend=np.uint64(0)).tobytes() + values.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    kind = np.dtype(raw[:4].decode().strip())
+    size = (len(raw) - 4) // (8 + kind.itemsize)
+    return np.cumsum(np.frombuffer(raw, np.uint64, size, 4), dtype=np.uint64), np.frombuffer(raw, kind, size, 4 + 8 * size)
+
+
+def union_of(parts) -> np.ndarray:
+    """The sorted different strings of arrays, merged whenever as many again have come in."""
+    found, more, size = np.empty(0, np.uint64), [], 0
+    for part in parts:
+        more.append(np.unique(part))
+        size += len(more[-1])
+        if size > max(1 << 20, len(found)):
+            found, more, size = np.unique(np.concatenate([found, *more])), [], 0
+    return np.unique(np.concatenate([found, *more]))
+
+
+class Known:
+    """Strings with their values, for a scorer that meets no others."""
+
+    def __init__(self, strings: np.ndarray, values: np.ndarray):
+        self.strings, self.values = strings, values
 
 
 class Scorer:
     """log10 probabilities of strings: an open-addressing table in front of the tree, which also keeps what the tree computes."""
 
-    def __init__(self, tree: Tree, spare: int = 1 << 19):
+    def __init__(self, tree: Tree | Known, spare: int = 1 << 19):
         self.tree = tree
         self.bits = max(10, int(1.4 * (len(tree.strings) + spare)).bit_length())
         self.key = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -281,6 +297,14 @@ def laid_out(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
     return grams(data, depth), begins, ends
 
 
+def inside(size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the strings are those of a stream's bytes, not of the line feeds before it."""
+    use = np.zeros(size + 1, np.int8)
+    np.add.at(use, begins, 1)
+    np.add.at(use, ends, -1)
+    return np.cumsum(use[:-1]).astype(bool)
+
+
 def word_hash(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
 
@@ -308,10 +332,7 @@ def string_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 strings, begins, ends = laid_out([stream(w) for _, w in part], depth)
-                use = np.zeros(len(strings) + 1, np.int8)
-                np.add.at(use, begins, 1)
-                np.add.at(use, ends, -1)
-                keys = np.sort(strings[np.cumsum(use[:-1]).astype(bool)])
+                keys = np.sort(strings[inside(len(strings), begins, ends)])
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
                 held.append((keys[first], np.diff(np.r_[first, len(keys)])))
                 size += len(first)
@@ -333,33 +354,71 @@ def string_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return heavy_map(docs, run, "string bigint, n bigint").groupBy("string").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, depth: int = DEPTH, rows: int = MODEL_ROWS) -> Tree:
-    """The tree of the training documents (doc_id, text)."""
-    found = cut(string_counts(docs, depth))
+def shard_of(strings, shards: int):
+    """The shard of strings, by the TOP bytes before the last; of an array or a column."""
+    mask = (1 << (8 * TOP)) - 1
+    if isinstance(strings, np.ndarray):
+        return ((strings.view(np.int64) >> 8 & mask) * 40503 % 65521 % shards).astype(np.int64)
+    return F.shiftright(strings, 8).bitwiseAND(F.lit(mask)) * 40503 % 65521 % shards
 
-    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = df.select("string", "n").toArrow()  # at most `rows` rows
-        order = np.argsort(keys := t["string"].to_numpy().view(np.uint64))
-        return keys[order], t["n"].to_numpy()[order]
-
-    shorter, deeper = found, None
-    while shorter.limit(rows + 1).count() > rows:
-        deeper = shorter
-        depth -= 1
-        shorter = cut(shorter.groupBy(F.col("string").bitwiseAND(F.lit((1 << (8 * (depth + 1))) - 1)).alias("string")).agg(F.sum("n").alias("n")))
-    if deeper is None:
-        return Tree(*arrays(found), depth)
-    context = F.shiftrightunsigned("string", 8).alias("context")
-    sizes = deeper.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("strings"))
-    steps = sizes.groupBy(F.floor(F.log2("total")).cast("int").alias("step")).agg(F.sum("strings").alias("strings")).orderBy(F.desc("step")).collect()
-    least, have = 1 << 62, 0
-    for step in steps:
-        have += step["strings"]
-        if have > rows:
-            break
-        least = 1 << step["step"]
-    kept = deeper.withColumn("context", context).join(sizes.where(F.col("total") >= least).select("context"), "context", "left_semi")
-    return Tree(*arrays(kept), depth + 1, arrays(shorter))
+
+def fit(docs: DataFrame, depth: int = DEPTH, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int, Tree]:
+    """(shard, data: its strings and counts), the number of shards, and the levels above TOP, of the documents (doc_id, text)."""
+    found = cut(string_counts(docs, depth))
+    shards = max(1, -(-found.count() // shard_rows))
+
+    def run(part: pa.Table) -> pa.Table:
+        keys = part["string"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, counts = keys[order], part["n"].to_numpy()[order]
+        above, weighted = Tree(keys, counts, depth, TOP).below
+        rows = [(part["shard"][0].as_py(), pack(keys, counts), pack(above, weighted), pack(*_summed(keys & np.uint64((1 << (8 * TOP)) - 1), counts)))]
+        return pa.Table.from_pylist([dict(zip(("shard", "data", "below", "shorter"), r, strict=True)) for r in rows], SHARD)
+
+    SHARD = pa.schema([("shard", pa.int64()), ("data", pa.binary()), ("below", pa.binary()), ("shorter", pa.binary())])
+    ship(docs.sparkSession)
+    built = cut(found.withColumn("shard", shard_of(F.col("string"), shards)).groupBy("shard").applyInArrow(run, "shard bigint, data binary, below binary, shorter binary"))
+    below, shorter = (np.empty(0, np.uint64), np.empty(0)), (np.empty(0, np.uint64), np.empty(0, np.int64))
+    for row in built.select("below", "shorter").orderBy("shard").toLocalIterator():  # one shard at a time
+        below, shorter = ([np.concatenate(x) for x in zip(a, unpack(bytes(b)), strict=True)] for a, b in ((below, row["below"]), (shorter, row["shorter"])))
+        below, shorter = _summed(*below), _summed(*shorter)
+    return built.select("shard", "data"), shards, Tree(*shorter, TOP - 1, 0, below if len(below[0]) else None)
+
+
+def block_values(blocked: DataFrame, fitted: tuple[DataFrame, int, Tree], depth: int) -> DataFrame:
+    """(block, data: strings and their log10 probabilities): those of every string that occurs in the block's (block, doc_id, text)."""
+    model, shards, top = fitted
+    above = blocked.sparkSession.sparkContext.broadcast(top)
+
+    def ask(part: pa.Table) -> pa.Table:
+        found = union_of(strings[inside(len(strings), begins, ends)] for batch in part.to_batches() for some in chunks(batch) for strings, begins, ends in [laid_out([stream(w) for _, w in some], depth)])
+        shard = shard_of(found, shards)
+        rows = [{"shard": int(i), "block": part["block"][0].as_py(), "data": pack(found[shard == i], np.zeros(int((shard == i).sum()), np.uint8))} for i in np.unique(shard)]
+        return pa.Table.from_pylist(rows, ASKED)
+
+    def answer(part: pa.Table) -> pa.Table:
+        asked, (keys, counts) = [], (np.empty(0, np.uint64), np.empty(0, np.int64))
+        for block, data in zip(part["block"].to_pylist(), part["data"], strict=True):
+            if block is None:
+                keys, counts = unpack(data.as_py())
+            else:
+                asked.append((block, data))
+        if not asked:
+            return ANSWERED.empty_table()
+        tree = Tree(keys, counts, depth, TOP).under(above.value)
+        strings = union_of(unpack(data.as_py())[0] for _, data in asked)
+        values = tree.slow(strings).astype(np.float32)
+        rows = []
+        for block, data in asked:
+            mine = unpack(data.as_py())[0]
+            rows.append({"block": block, "data": pack(mine, values[np.searchsorted(strings, mine)])})
+        return pa.Table.from_pylist(rows, ANSWERED)
+
+    ASKED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+    ANSWERED = pa.schema([("block", pa.int64()), ("data", pa.binary())])
+    asked = blocked.groupBy("block").applyInArrow(ask, "shard bigint, block bigint, data binary")
+    both = asked.unionByName(model.select("shard", F.lit(None).cast("bigint").alias("block"), "data"))
+    return both.groupBy("shard").applyInArrow(answer, "block bigint, data binary")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -383,12 +442,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return heavy_map(docs, run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, rows: int = MODEL_ROWS) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = texts(docs, id_col, text_col)
     spark = docs.sparkSession
     training = docs.where(~held_out(F.col("doc_id")))
-    tree = spark.sparkContext.broadcast(fit(training, depth, rows))
+    fitted = fit(training, depth, shard_rows)
+    size = docs.select(F.sum(F.length("text"))).first()[0] or 0
+    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block)))))
+    values = block_values(blocked, fitted, depth)
     counts = cut(word_counts(training))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
@@ -397,17 +459,23 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
     known = spark.sparkContext.broadcast(common)
     denominator = n + 0.5 * (v + 1)
 
-    def run(batches):
-        scorer, seen = scorer_of(tree), known.value
+    def run(group: pa.Table) -> pa.Table:
+        packed = [unpack(x.as_py()) for x in group["data"] if x.is_valid]
+        group = group.filter(pc.is_valid(group["text"])).combine_chunks()
+        scorer, seen = Scorer(Known(*(np.concatenate(x) for x in zip(*packed, strict=True))), 0), known.value
+        out = []
         number: dict[bytes, int] = {}  # hashes of common words, by word
         base = float(np.log10(0.5 / denominator))
-        part_id = TaskContext.get().partitionId() << 36
+        part_id = group["block"][0].as_py() << 36
         row = 0
-        for batch in batches:
+        for batch in group.to_batches():
             ids = batch.column("doc_id").to_pylist()
             for part in chunks(batch):
-                strings, begins, ends = laid_out([stream(w) for _, w in part], tree.value.depth)
-                total = np.r_[0.0, np.cumsum(scorer(strings), dtype=np.float64)]
+                strings, begins, ends = laid_out([stream(w) for _, w in part], depth)
+                each = np.zeros(len(strings))
+                mine = inside(len(strings), begins, ends)
+                each[mine] = scorer(strings[mine])
+                total = np.r_[0.0, np.cumsum(each)]
                 score = total[ends] - total[begins]
                 heads, rare_rows, rare_words, rare_n = [], [], [], []
                 for (i, words), s in zip(part, score, strict=True):
@@ -431,7 +499,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
                         hits += k
                     size = len(words) + 1
                     heads.append((mine, ids[i], size, hits, plain + size * base, float(s)))
-                yield batch_of(heads, rare_rows, rare_words, rare_n)
+                out.append(batch_of(heads, rare_rows, rare_words, rare_n))
+        return pa.Table.from_batches(out)
 
     def batch_of(heads, rare_rows, rare_words, rare_n):
         a, h = len(heads), len(rare_rows)
@@ -446,7 +515,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
             ["row", "h", "k", "doc_id", "n_tokens", "hits", "plain", "score"],
         )
 
-    spread = heavy_map(docs, run, "row bigint, h bigint, k int, doc_id bigint, n_tokens bigint, hits bigint, plain double, score double")
+    both = blocked.unionByName(values, allowMissingColumns=True)
+    spread = both.groupBy("block").applyInArrow(run, "row bigint, h bigint, k int, doc_id bigint, n_tokens bigint, hits bigint, plain double, score double")
     rare = counts.where(F.col("n") < least).select("h", F.col("n").alias("c")).hint("shuffle_hash")
     found = spread.join(rare, "h", "left").withColumn("c", F.when(F.col("k") > 0, F.col("c")))
     out = found.groupBy("row").agg(

@@ -331,6 +331,20 @@ def test_context_tree_equals_its_recursion():
     assert scorer(asked) == pytest.approx(got, abs=1e-5) and scorer(asked) == pytest.approx(got, abs=1e-5)
 
 
+def test_context_tree_is_whole_at_every_size(spark):
+    """More different strings than one shard (or 1.5 million): every score is that of the one whole tree."""
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    docs = [(i, " ".join(some(200) for _ in range(200))) for i in range(60)]
+    rows = {r["doc_id"]: r["score"] for r in ctw.scores(frame(spark, docs), shard_rows=300_000, block=1 << 19).collect()}
+    streams = {i: ctw.stream(ctw.tokens(t)) for i, t in docs}
+    grams = {i: ctw.grams(np.frombuffer(s, np.uint8), ctw.DEPTH) for i, s in streams.items()}
+    strings, counts = np.unique(np.concatenate([g for i, g in grams.items() if zlib.crc32(str(i).encode()) % 5 != 1]), return_counts=True)
+    assert len(strings) > 1_500_000
+    tree = ctw.Tree(strings, counts)
+    assert all(abs(rows[i] - tree.slow(grams[i]).sum()) < 1e-6 * abs(rows[i]) for i in list(rows)[:8])
+
+
 def test_tokenizer_equals_library():
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(bpe.word_bpe_path())
