@@ -10,7 +10,9 @@ Evidence on a document's language, all of it estimated from the whole table:
 * host: a prior smoothed hierarchically, global to domain to host, each level a Dirichlet prior for the next; a
   document's own vote is taken out of its host's and domain's counts.
 
-The posterior adds them up.  A document is rejected if its text has no trigram or no language reaches ``ACCEPT``.
+The posterior adds them up over the languages and "none of them": trigrams drawn uniformly from the buckets, with prior
+``UNKNOWN`` and the declarations and suffixes of all texts together.  A document is rejected if its text has no trigram or
+no language reaches ``ACCEPT``.
 
 Languages are those declared by at least ``LEAST_SHARE`` of the documents with a declaration (hence at most
 1 / LEAST_SHARE of them); the trigram model has BUCKETS rows.  Host statistics are joined, broadcast only if few.
@@ -32,7 +34,7 @@ from feedweave.llm.common import cut, heavy_map, table, without
 BUCKETS = 1 << 16
 EFFECTIVE = 40.0
 LEAST_SHARE = 0.005
-ACCEPT = 0.5
+ACCEPT, UNKNOWN = 0.5, 0.01
 SMOOTH, STRENGTH = 0.5, 8.0
 BROADCAST_HOSTS = 100_000
 
@@ -149,7 +151,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     score = F.array(*[F.col("ll")[i] + F.log(F.col("p_host")[i]) + given("declared", i) + given("suffix", i) for i in range(size)])
     out = out.withColumn("score", score).withColumn("top", F.array_max("score"))
-    out = out.withColumn("p", 1 / F.aggregate("score", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top"))))
+
+    def overall(key: str) -> Column:
+        """log P(key's value), smoothed as given() is, whatever the language."""
+        return F.coalesce(F.log((F.aggregate(f"{key}_n", F.lit(0.0), lambda acc, x: acc + x) + SMOOTH) / F.lit(sum(total) + SMOOTH * 2 * size)), F.lit(0.0))
+
+    none = -float(np.log(BUCKETS)) * F.least(F.col("n_trigrams"), F.lit(EFFECTIVE)) + float(np.log(UNKNOWN)) + overall("declared") + overall("suffix")
+    odds = F.exp(F.least(none - F.col("top"), F.lit(700.0)))
+    out = out.withColumn("p", 1 / (odds + F.aggregate("score", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))))
     names = F.array(*[F.lit(x) for x in langs])
     return out.select(
         "doc_id",

@@ -187,6 +187,16 @@ def test_language(spark):
     assert language_id.keep_identified(df).count() == len(rows) + 1
 
 
+def test_other_languages_and_noise_are_rejected(spark):
+    rng = random.Random(9)
+    speak = {"en": "the and house with under river over stone light water".split(), "de": "der und haus mit unter fluss stein licht wasser auch".split()}
+    rows = [(i, " ".join(rng.choices(speak[lang], k=60)), lang, "h.org") for i in range(200) for lang in ([*speak][i % 2],)]
+    odd = ["日本語の文章がここにあります。" * 5, "это предложение написано по русски " * 4, "!?#$%&*()[]{}<>=+" * 9, "".join(rng.choices("qxzjvkwpbf", k=200)), "!!!!" * 20]
+    df = spark.createDataFrame([*rows, *((900 + i, t, None, "h.org") for i, t in enumerate(odd))], "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r["accepted"] for r in language_id.identify(df).collect()}
+    assert all(got[i] for i in range(200)) and not any(got[900 + i] for i in range(len(odd)))
+
+
 def shingles(t):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
