@@ -14,8 +14,9 @@ The posterior adds them up over the languages and "none of them": trigrams drawn
 ``UNKNOWN`` and the declarations and suffixes of all texts together.  A document is rejected if its text has no trigram or
 no language reaches ``ACCEPT``.
 
-Languages are those declared by at least ``LEAST_SHARE`` of the documents with a declaration (hence at most
-1 / LEAST_SHARE of them); the trigram model has BUCKETS rows.  Host statistics are joined, broadcast only if few.
+Languages are those declared on texts of ``LEAST_CHARS`` characters or more altogether, as much as the smoothing weighs,
+however small their share (all declared ones with text, where none has as much); the trigram model has BUCKETS rows and is
+sent to the executors, 4 bytes for each bucket and language.  Host statistics are joined, broadcast only if few.
 
 Defined results: a null or empty text has no text evidence and is rejected; a null declaration, suffix or host gives no
 evidence; ties go to the language first in order of code; repeated rows are identified once each; an empty table gives
@@ -33,7 +34,7 @@ from feedweave.llm.common import cut, heavy_map, table, without
 
 BUCKETS = 1 << 16
 EFFECTIVE = 40.0
-LEAST_SHARE = 0.005
+LEAST_CHARS = 1000
 ACCEPT, UNKNOWN = 0.5, 0.01
 SMOOTH, STRENGTH = 0.5, 8.0
 BROADCAST_HOSTS = 100_000
@@ -63,9 +64,8 @@ def evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
 
 def languages(rows: DataFrame) -> list[str]:
-    counts = rows.where("declared <> ''").groupBy("declared").count()
-    total = counts.select(F.sum("count")).first()[0] or 0
-    return sorted(r["declared"] for r in counts.where(F.col("count") >= max(1, LEAST_SHARE * total)).collect())
+    sizes = {r["declared"]: r["n"] for r in rows.where("declared <> ''").groupBy("declared").agg(F.sum(F.length(F.trim("text"))).alias("n")).where("n > 0").collect()}
+    return sorted(x for x, n in sizes.items() if n >= LEAST_CHARS) or sorted(sizes)
 
 
 def text_model(rows: DataFrame, langs: list[str]) -> np.ndarray:
@@ -140,9 +140,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         out = out.join(F.broadcast(stats) if small else stats, key, "left")
 
     own = lambda key, i: F.coalesce(F.col(f"{key}_n")[i], F.lit(0.0)) - F.when(F.col(f"{key}_n").isNotNull() & (F.col("says") == i), 1.0).otherwise(0.0)
-    sums = lambda key: sum((own(key, i) for i in range(size)), F.lit(0.0))
-    out = out.withColumn("p_domain", F.array(*[(own("domain", i) + STRENGTH * glob[i]) / (sums("domain") + STRENGTH) for i in range(size)]))
-    out = out.withColumn("p_host", F.array(*[(own("host", i) + STRENGTH * F.col("p_domain")[i]) / (sums("host") + STRENGTH) for i in range(size)]))
+    for key in ("domain", "host"):
+        out = out.withColumn(f"{key}_s", F.coalesce(F.aggregate(f"{key}_n", F.lit(0.0), lambda acc, x: acc + x) - F.when(F.col("says") >= 0, 1.0).otherwise(0.0), F.lit(0.0)))
+    out = out.withColumn("p_domain", F.array(*[(own("domain", i) + STRENGTH * glob[i]) / (F.col("domain_s") + STRENGTH) for i in range(size)]))
+    out = out.withColumn("p_host", F.array(*[(own("host", i) + STRENGTH * F.col("p_domain")[i]) / (F.col("host_s") + STRENGTH) for i in range(size)]))
 
     def given(key: str, i: int) -> Column:
         """log P(key's value | language i), smoothed; nothing where the value is null or was never seen with a text."""

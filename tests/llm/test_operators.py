@@ -197,6 +197,15 @@ def test_other_languages_and_noise_are_rejected(spark):
     assert all(got[i] for i in range(200)) and not any(got[900 + i] for i in range(len(odd)))
 
 
+def test_small_languages_are_kept(spark):
+    """A language with text enough is known, whatever its share (here 0.4 %)."""
+    rng = random.Random(10)
+    speak = {"en": "the and house with under river over stone".split(), "eu": "eta etxea ibaia harria gainean azpian ura argia".split()}
+    rows = [(i, " ".join(rng.choices(speak[lang], k=40)), lang, "h.org") for i in range(2000) for lang in ("eu" if i % 250 == 0 else "en",)]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[i]["language"] == lang and got[i]["accepted"] for i, _, lang, _ in rows)
+
+
 def shingles(t):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
