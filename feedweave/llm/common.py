@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,20 +28,37 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where none is configured (tests, local mode)."""
+    """The folder all executors share.  In local mode, where none is configured, a temporary one; elsewhere that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="feedweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and read it from there: lineage ends, and the loss of executors is survived.
+
+    Later reads take the columns they use only, and the planner knows the size.  drop() removes the table.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/feedweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._feedweave_table = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that cut() wrote; nothing that is still to be computed may read them."""
+    for df in tables:
+        spark, path = df.sparkSession, df.__dict__.pop("_feedweave_table", None)
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def heavy_map(df: DataFrame, function, schema: str) -> DataFrame:

@@ -7,16 +7,14 @@ of all depths are mixed by the weights of the context-tree recursion, P = (KT +
 score is the code length of the text under the mixture.  A context never seen in training predicts as its longest seen
 suffix does.
 
-Training: each task counts the (DEPTH + 1)-byte strings of its documents, a grouped sum joins the counts, and the tree
-is their marginals, all of them at every size.  No process holds the tree.  Everything below depth TOP depends on the TOP
-bytes before the symbol only, so the strings are put into shards by those bytes; each shard builds its own levels and
-hands up the sums of its nodes' log probabilities, from which the driver builds the levels above TOP (at most 256 ** TOP
-strings).  The documents go into blocks of about BLOCK characters, by a hash; the different strings of a block are sent
-to the shards, which look up or compute their probabilities, and these are brought together with the block's documents.
-
-Word counts for the base score are not bounded: words with a share of at least 1 / COMMON of all training tokens (hence
-at most COMMON of them) are looked up where the documents are, all others are counted per document and joined by a
-shuffle on the word, whose rows are few for each word.
+The documents go into blocks of about BLOCK characters, by a hash.  Each block asks once: it lists its different
+(DEPTH + 1)-byte strings and its different words, with how often its training documents have them, and sends them to parts
+by a hash of the word, or by the TOP bytes before the symbol.  A part adds up the counts of all blocks; those are the whole
+tree, at every size, since everything below depth TOP depends on those bytes only, and no process holds more than a part
+of it.  Parts hand up the sums of their nodes' log probabilities, from which the driver builds the levels above TOP (at most
+256 ** TOP strings).  Then each part answers each block with the probabilities of the strings and the counts of the words that
+it asked for, and the block's documents are scored.  Texts are shuffled twice, rows of words or strings never: they travel
+in one packed array for each block and part.
 
 Defined results: a null or empty text has the end token only; repeated rows are scored and counted as often as they
 occur; a null doc_id is never held out; without training rows every count is 0; an empty table gives an empty table; only
@@ -35,15 +33,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedweave.llm.common import cut, heavy_map, mix, table, texts
+from feedweave.llm.common import cut, drop, table, texts
 from feedweave.session import ship
 
 FOLDS, HELD_OUT = 5, 1
 DEPTH = 5
 TOP = 2
-#: Strings of the model in a shard, about, and characters of the documents in a block, about.
-SHARD_ROWS, BLOCK = 500_000, 1 << 25
-COMMON = 1 << 17
+#: Characters of the documents in a block, and for each part, about.
+BLOCK, PART = 1 << 24, 1 << 22
 END = 10
 #: Bytes of text that are scored or counted together.
 _CHUNK = 1 << 19
@@ -209,15 +206,20 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(raw, np.uint64, size, 4), dtype=np.uint64), np.frombuffer(raw, kind, size, 4 + 8 * size)
 
 
-def union_of(parts) -> np.ndarray:
-    """The sorted different strings of arrays, merged whenever as many again have come in."""
-    found, more, size = np.empty(0, np.uint64), [], 0
-    for part in parts:
-        more.append(np.unique(part))
-        size += len(more[-1])
-        if size > max(1 << 20, len(found)):
-            found, more, size = np.unique(np.concatenate([found, *more])), [], 0
-    return np.unique(np.concatenate([found, *more]))
+def added(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys of pairs (sorted keys, counts) and their sums, merged whenever as many again have come in."""
+    held, have, size = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0, 0
+    for keys, counts in parts:
+        held.append((keys, counts))
+        size += len(keys)
+        if size > max(1 << 21, have):
+            held = [_merged(held)]
+            have, size = len(held[0][0]), 0
+    return _merged(held)
+
+
+def _merged(held) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
 
 class Known:
@@ -306,7 +308,7 @@ def inside(size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def word_hash(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
 
 
 def chunks(batch, size: int = _CHUNK):
@@ -323,210 +325,171 @@ def chunks(batch, size: int = _CHUNK):
         yield out
 
 
-def string_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(string, n) over the streams of (doc_id, text)."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for part in chunks(batch):
-                strings, begins, ends = laid_out([stream(w) for _, w in part], depth)
-                keys = np.sort(strings[inside(len(strings), begins, ends)])
-                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                held.append((keys[first], np.diff(np.r_[first, len(keys)])))
-                size += len(first)
-                if size > 4_000_000:
-                    held = [merged(held)]
-                    size = len(held[0][0])
-                    if size > 2_000_000:
-                        yield batch_of(*held[0])
-                        held, size = [], 0
-        if held:
-            yield batch_of(*merged(held))
-
-    def merged(held):
-        return _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-
-    def batch_of(keys, counts):
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["string", "n"])
-
-    return heavy_map(docs, run, "string bigint, n bigint").groupBy("string").agg(F.sum("n").alias("n"))
-
-
-def shard_of(strings, shards: int):
-    """The shard of strings, by the TOP bytes before the last; of an array or a column."""
-    mask = (1 << (8 * TOP)) - 1
-    if isinstance(strings, np.ndarray):
-        return ((strings.view(np.int64) >> 8 & mask) * 40503 % 65521 % shards).astype(np.int64)
-    return F.shiftright(strings, 8).bitwiseAND(F.lit(mask)) * 40503 % 65521 % shards
-
-
-def fit(docs: DataFrame, depth: int = DEPTH, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int, Tree]:
-    """(shard, data: its strings and counts), the number of shards, and the levels above TOP, of the documents (doc_id, text)."""
-    found = cut(string_counts(docs, depth))
-    shards = max(1, -(-found.count() // shard_rows))
-
-    def run(part: pa.Table) -> pa.Table:
-        keys = part["string"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, counts = keys[order], part["n"].to_numpy()[order]
-        above, weighted = Tree(keys, counts, depth, TOP).below
-        rows = [(part["shard"][0].as_py(), pack(keys, counts), pack(above, weighted), pack(*_summed(keys & np.uint64((1 << (8 * TOP)) - 1), counts)))]
-        return pa.Table.from_pylist([dict(zip(("shard", "data", "below", "shorter"), r, strict=True)) for r in rows], SHARD)
-
-    SHARD = pa.schema([("shard", pa.int64()), ("data", pa.binary()), ("below", pa.binary()), ("shorter", pa.binary())])
-    ship(docs.sparkSession)
-    built = cut(found.withColumn("shard", shard_of(F.col("string"), shards)).groupBy("shard").applyInArrow(run, "shard bigint, data binary, below binary, shorter binary"))
+def part_of(strings: np.ndarray, parts: int) -> np.ndarray:
+    """The part of strings, by the TOP bytes before the last."""
+    return ((strings >> np.uint64(8) & np.uint64((1 << (8 * TOP)) - 1)) * np.uint64(40503) % np.uint64(65521) % np.uint64(parts)).astype(np.int64)
+
+
+def dealt(keys: np.ndarray, counts: np.ndarray, part: np.ndarray):
+    """(part, sorted keys, counts) of sorted keys."""
+    order = np.argsort(part, kind="stable")
+    keys, counts, part = keys[order], counts[order], part[order]
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+    for a, b in zip(first, [*first[1:], len(part)], strict=True):
+        yield int(part[a]), keys[a:b], counts[a:b]
+
+
+#: What blocks ask for and parts answer with.
+STRINGS, WORDS = 0, 1
+_ASKED = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+_ANSWERED = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+_BUILT = pa.schema([("part", pa.int64()), ("data", pa.binary()), ("below", pa.binary()), ("shorter", pa.binary())])
+
+
+def asked(blocked: DataFrame, parts: int, depth: int = DEPTH) -> DataFrame:
+    """(kind, part, block, data: different strings or hashes of words, with their counts in the training documents)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        words: collections.Counter = collections.Counter()
+        others: set[bytes] = set()
+        block = group["block"][0].as_py()
+
+        def strings():
+            for train in (True, False):
+                for batch in group.filter(pc.equal(group["train"], train)).to_batches():
+                    for some in chunks(batch):
+                        for _, w in some:
+                            (words if train else others).update(w)
+                        if train:
+                            words[b"\n"] += len(some)
+                        else:
+                            others.add(b"\n")
+                        every, begins, ends = laid_out([stream(w) for _, w in some], depth)
+                        keys = np.sort(every[inside(len(every), begins, ends)])
+                        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                        counts = np.diff(np.r_[first, len(keys)])
+                        yield keys[first], counts if train else np.zeros_like(counts)
+
+        keys, counts = added(strings())
+        rows = [(STRINGS, i, block, pack(k, n)) for i, k, n in dealt(keys, counts, part_of(keys, parts))]
+        others.difference_update(words)
+        hashes = word_hash([*words, *others])
+        keys, counts = _summed(hashes, np.r_[np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(others), np.int64)])
+        rows += [(WORDS, i, block, pack(k, n)) for i, k, n in dealt(keys, counts, (keys % np.uint64(parts)).astype(np.int64))]
+        return pa.Table.from_pylist([dict(zip(_ASKED.names, r, strict=True)) for r in rows], _ASKED)
+
+    ship(blocked.sparkSession)
+    return blocked.groupBy("block").applyInArrow(run, "kind int, part bigint, block bigint, data binary")
+
+
+def built(asks: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(part, data: its strings and counts, below, shorter: what the levels above TOP need) of the training strings."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, counts = added(unpack(x.as_py()) for x in group["data"])
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        below = Tree(keys, counts, depth, TOP).below
+        row = (group["part"][0].as_py(), pack(keys, counts), pack(*below), pack(*_summed(keys & np.uint64((1 << (8 * TOP)) - 1), counts)))
+        return pa.Table.from_pylist([dict(zip(_BUILT.names, row, strict=True))], _BUILT)
+
+    return asks.where(F.col("kind") == STRINGS).groupBy("part").applyInArrow(run, "part bigint, data binary, below binary, shorter binary")
+
+
+def top_of(model: DataFrame) -> Tree:
+    """The levels above TOP of all parts; one part at a time comes to the driver."""
     below, shorter = (np.empty(0, np.uint64), np.empty(0)), (np.empty(0, np.uint64), np.empty(0, np.int64))
-    for row in built.select("below", "shorter").orderBy("shard").toLocalIterator():  # one shard at a time
+    for row in model.select("below", "shorter").orderBy("part").toLocalIterator():
         below, shorter = ([np.concatenate(x) for x in zip(a, unpack(bytes(b)), strict=True)] for a, b in ((below, row["below"]), (shorter, row["shorter"])))
         below, shorter = _summed(*below), _summed(*shorter)
-    return built.select("shard", "data"), shards, Tree(*shorter, TOP - 1, 0, below if len(below[0]) else None)
+    return Tree(*shorter, TOP - 1, 0, below if len(below[0]) else None)
 
 
-def block_values(blocked: DataFrame, fitted: tuple[DataFrame, int, Tree], depth: int) -> DataFrame:
-    """(block, data: strings and their log10 probabilities): those of every string that occurs in the block's (block, doc_id, text)."""
-    model, shards, top = fitted
-    above = blocked.sparkSession.sparkContext.broadcast(top)
+def string_values(asks: DataFrame, model: DataFrame, top: Tree, depth: int = DEPTH) -> DataFrame:
+    """(kind, block, data: the block's strings of a part and their log10 probabilities)."""
+    above = asks.sparkSession.sparkContext.broadcast(top)
 
-    def ask(part: pa.Table) -> pa.Table:
-        found = union_of(strings[inside(len(strings), begins, ends)] for batch in part.to_batches() for some in chunks(batch) for strings, begins, ends in [laid_out([stream(w) for _, w in some], depth)])
-        shard = shard_of(found, shards)
-        rows = [{"shard": int(i), "block": part["block"][0].as_py(), "data": pack(found[shard == i], np.zeros(int((shard == i).sum()), np.uint8))} for i in np.unique(shard)]
-        return pa.Table.from_pylist(rows, ASKED)
-
-    def answer(part: pa.Table) -> pa.Table:
-        asked, (keys, counts) = [], (np.empty(0, np.uint64), np.empty(0, np.int64))
-        for block, data in zip(part["block"].to_pylist(), part["data"], strict=True):
+    def run(group: pa.Table) -> pa.Table:
+        mine, (keys, counts) = [], (np.empty(0, np.uint64), np.empty(0, np.int64))
+        for block, data in zip(group["block"].to_pylist(), group["data"], strict=True):
             if block is None:
                 keys, counts = unpack(data.as_py())
             else:
-                asked.append((block, data))
-        if not asked:
-            return ANSWERED.empty_table()
+                mine.append((block, data))
         tree = Tree(keys, counts, depth, TOP).under(above.value)
-        strings = union_of(unpack(data.as_py())[0] for _, data in asked)
+        strings, _ = added(unpack(data.as_py()) for _, data in mine)
         values = tree.slow(strings).astype(np.float32)
         rows = []
-        for block, data in asked:
-            mine = unpack(data.as_py())[0]
-            rows.append({"block": block, "data": pack(mine, values[np.searchsorted(strings, mine)])})
-        return pa.Table.from_pylist(rows, ANSWERED)
-
-    ASKED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
-    ANSWERED = pa.schema([("block", pa.int64()), ("data", pa.binary())])
-    asked = blocked.groupBy("block").applyInArrow(ask, "shard bigint, block bigint, data binary")
-    both = asked.unionByName(model.select("shard", F.lit(None).cast("bigint").alias("block"), "data"))
-    return both.groupBy("shard").applyInArrow(answer, "block bigint, data binary")
+        for block, data in mine:
+            some, _ = unpack(data.as_py())
+            rows.append({"kind": STRINGS, "block": block, "data": pack(some, values[np.searchsorted(strings, some)])})
+        return pa.Table.from_pylist(rows, _ANSWERED)
 
+    both = asks.where(F.col("kind") == STRINGS).select("part", "block", "data").unionByName(model.select("part", F.lit(None).cast("bigint").alias("block"), "data"))
+    return both.groupBy("part").applyInArrow(run, "kind int, block bigint, data binary")
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, n): the occurrences of each word (its 64-bit hash), the end token included."""
 
-    def run(batches):
-        count: collections.Counter = collections.Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                count.update(tokens(text.as_py()))
-                count[b"\n"] += 1
-                if len(count) > 400_000:
-                    yield batch_of(count)
-                    count.clear()
-        if count:
-            yield batch_of(count)
+def word_values(asks: DataFrame) -> DataFrame:
+    """(kind, block, data: the block's words of a part and their counts in all training documents, n, v): n and v, the part's
+    tokens and different words in training, are on one row of a part."""
 
-    def batch_of(count):
-        return pa.RecordBatch.from_arrays([pa.array(word_hash(list(count))), pa.array(list(count.values()), pa.int64())], ["h", "n"])
+    def run(group: pa.Table) -> pa.Table:
+        keys, counts = added(unpack(x.as_py()) for x in group["data"])
+        rows = []
+        for block, data in zip(group["block"].to_pylist(), group["data"], strict=True):
+            some, _ = unpack(data.as_py())
+            rows.append({"kind": WORDS, "block": block, "data": pack(some, counts[np.searchsorted(keys, some)]), "n": 0, "v": 0})
+        rows[0] |= {"n": int(counts.sum()), "v": int((counts > 0).sum())}
+        return pa.Table.from_pylist(rows, pa.schema([*_ANSWERED, ("n", pa.int64()), ("v", pa.int64())]))
 
-    return heavy_map(docs, run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return asks.where(F.col("kind") == WORDS).groupBy("part").applyInArrow(run, "kind int, block bigint, data binary, n bigint, v bigint")
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, part: int = PART, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     docs = texts(docs, id_col, text_col)
-    spark = docs.sparkSession
-    training = docs.where(~held_out(F.col("doc_id")))
-    fitted = fit(training, depth, shard_rows)
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block)))))
-    values = block_values(blocked, fitted, depth)
-    counts = cut(word_counts(training))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"], total["v"]
-    least = max(1, -(-n // COMMON))
-    common = {r["h"]: r["n"] for r in counts.where(F.col("n") >= least).toLocalIterator()} if n else {}  # at most COMMON words
-    known = spark.sparkContext.broadcast(common)
-    denominator = n + 0.5 * (v + 1)
+    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block))))).withColumn("train", ~held_out(F.col("doc_id")))
+    asks = cut(asked(blocked, max(1, -(-size // part)), depth))
+    model = cut(built(asks, depth))
+    words = cut(word_values(asks))
+    values = cut(string_values(asks, model, top_of(model), depth))
+    drop(asks, model)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    n, base = total["n"], float(np.log10(0.5 / (total["n"] + 0.5 * (total["v"] + 1))))
 
     def run(group: pa.Table) -> pa.Table:
-        packed = [unpack(x.as_py()) for x in group["data"] if x.is_valid]
+        answers = [(kind, unpack(data.as_py())) for kind, data in zip(group["kind"].to_pylist(), group["data"], strict=True) if kind is not None]
+        join = lambda kind: tuple(np.concatenate(x) for x in zip(*(x for k, x in answers if k == kind), strict=True))
+        scorer, (hashes, counts) = Scorer(Known(*join(STRINGS)), 0), join(WORDS)
+        order = np.argsort(hashes)
+        hashes, gain = hashes[order], np.log10(2.0 * counts[order] + 1.0)
+        del answers
         group = group.filter(pc.is_valid(group["text"])).combine_chunks()
-        scorer, seen = Scorer(Known(*(np.concatenate(x) for x in zip(*packed, strict=True))), 0), known.value
+        worth: dict[bytes, float] = {}  # log10 (2 c + 1) of the words met so far
         out = []
-        number: dict[bytes, int] = {}  # hashes of common words, by word
-        base = float(np.log10(0.5 / denominator))
-        part_id = group["block"][0].as_py() << 36
-        row = 0
         for batch in group.to_batches():
-            ids = batch.column("doc_id").to_pylist()
-            for part in chunks(batch):
-                strings, begins, ends = laid_out([stream(w) for _, w in part], depth)
-                each = np.zeros(len(strings))
-                mine = inside(len(strings), begins, ends)
-                each[mine] = scorer(strings[mine])
-                total = np.r_[0.0, np.cumsum(each)]
-                score = total[ends] - total[begins]
-                heads, rare_rows, rare_words, rare_n = [], [], [], []
-                for (i, words), s in zip(part, score, strict=True):
-                    count = collections.Counter(words)
-                    count[b"\n"] += 1
-                    plain, hits, mine = 0.0, 0, part_id | row
-                    row += 1
-                    for w, k in count.items():
-                        h = number.get(w)
-                        if h is None:
-                            h = xxhash.xxh3_64_intdigest(w)
-                            h = h - (1 << 64) if h >> 63 else h
-                            if h in seen:
-                                number[w] = h
-                            else:
-                                rare_rows.append(mine)
-                                rare_words.append(h)
-                                rare_n.append(k)
-                                continue
-                        plain += k * math.log10(2 * seen[h] + 1)
-                        hits += k
-                    size = len(words) + 1
-                    heads.append((mine, ids[i], size, hits, plain + size * base, float(s)))
-                out.append(batch_of(heads, rare_rows, rare_words, rare_n))
-        return pa.Table.from_batches(out)
-
-    def batch_of(heads, rare_rows, rare_words, rare_n):
-        a, h = len(heads), len(rare_rows)
-        rows_, ids, sizes, hits, plain, score = zip(*heads, strict=True)
-        none = [None] * h
-        place = mix(np.array(rows_, np.int64).view(np.uint64)).view(np.int64)  # spreads the head rows; matched with nothing
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*rows_, *rare_rows], pa.int64()), pa.concat_arrays([pa.array(place), pa.array(rare_words, pa.int64())]), pa.array([0] * a + rare_n, pa.int32()),
-                pa.array([*ids, *none], pa.int64()), pa.array([*sizes, *none], pa.int64()), pa.array([*hits, *none], pa.int64()), pa.array([*plain, *none], pa.float64()), pa.array([*score, *none], pa.float64()),
-            ],
-            ["row", "h", "k", "doc_id", "n_tokens", "hits", "plain", "score"],
-        )
-
-    both = blocked.unionByName(values, allowMissingColumns=True)
-    spread = both.groupBy("block").applyInArrow(run, "row bigint, h bigint, k int, doc_id bigint, n_tokens bigint, hits bigint, plain double, score double")
-    rare = counts.where(F.col("n") < least).select("h", F.col("n").alias("c")).hint("shuffle_hash")
-    found = spread.join(rare, "h", "left").withColumn("c", F.when(F.col("k") > 0, F.col("c")))
-    out = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("hits") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("k").cast("bigint"))), F.lit(0))).alias("n_known"),
-        (F.max("plain") + F.coalesce(F.sum(F.col("k") * F.log10(2 * F.col("c") + 1)), F.lit(0.0))).alias("base_score"),
-        F.max("score").alias("score"),
-    )
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
+            ids, train = batch.column("doc_id").to_pylist(), batch.column("train").to_pylist()
+            for some in chunks(batch):
+                new = list({w for _, ws in some for w in ws if w not in worth} | ({b"\n"} - worth.keys()))
+                worth.update(zip(new, gain[np.searchsorted(hashes, word_hash(new))].tolist(), strict=True))
+                coded = [stream(w) for _, w in some]
+                every, begins, ends = laid_out(coded, depth)
+                each = np.zeros(len(every))
+                mine = inside(len(every), begins, ends)
+                each[mine] = scorer(every[mine])
+                sums = np.r_[0.0, np.cumsum(each)]
+                for (i, ws), s, code in zip(some, (sums[ends] - sums[begins]).tolist(), coded, strict=True):
+                    known = [worth[w] for w in ws]
+                    known.append(worth[b"\n"])
+                    k = len(known)
+                    out.append((ids[i], not train[i], k, k - known.count(0.0), n, math.fsum(known) + k * base, s, -s / math.log10(2) / len(code)))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SCORED.types, strict=True)], schema=SCORED)
+
+    both = blocked.unionByName(values.unionByName(words.drop("n", "v")), allowMissingColumns=True)
+    return both.groupBy("block").applyInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")
+
+
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
 def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
