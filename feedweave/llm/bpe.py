@@ -4,12 +4,17 @@ Encoding.  For every prefix of a pre-token there is exactly one token that can e
 that ends there and whose predecessor (the last token of the prefix before t) keeps its boundary when the two
 are encoded together.  Reading one symbol therefore extends a table of (last token, back pointer) by one row.
 A future symbol can only point back to the rows of the last ``max_token`` positions; tokens on which the back
-pointers of all of those rows agree can no longer change and are emitted at once.  ``sufficient_lookahead``
-bounds from the merge list how far right an undecided boundary can depend on unread symbols, so the table keeps
-a constant number of rows, however long the pre-token is.
+pointers of all of those rows agree can no longer change.  ``sufficient_lookahead``, computed from the merge list,
+bounds how far right an undecided boundary can depend on unread symbols: whenever that many symbols are undecided, the
+agreed tokens are emitted and their rows forgotten, so the table keeps a constant number of rows, however long the
+pre-token is.  Every pre-token goes through the transducer; results of short ones are remembered.  Texts are read in slices,
+and tokens handed on slice by slice.
 
-Decoding is an incremental state machine: ids go in one at a time, text comes out as soon as it is complete
-(for byte-level vocabularies: as soon as the UTF-8 sequence is).
+Decoding is an incremental state machine from bytes to text: ids go in as they come, text comes out as soon as it is
+complete (for byte-level vocabularies: as soon as the UTF-8 sequence is).  Where the tokenizer names no decoder, the bytes
+of a token are those of its name, with a space between tokens.
+
+Only a row's own results are held whole, because a row is what Arrow hands on.
 
 Defined results: a null or empty text has no tokens and decodes to an empty text; repeated rows are encoded
 once each; an empty table gives an empty table; columns other than the id and the text are not read.
@@ -21,6 +26,7 @@ import codecs
 import functools
 import heapq
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -29,12 +35,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedweave.llm.common import heavy_map, table, texts
 
-#: Word encodings a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
-#: Longer white-space-delimited chunks are not remembered.
+#: Word encodings a worker remembers before the older half of them goes, and symbols of a beginning that it remembers.
+CACHE_WORDS, START = 800_000, 8
+#: Longer words are not remembered.
 CACHE_CHARS = 64
+#: Characters of text that are encoded together, up to the next white space.
+SLICE = 1 << 16
 #: Bytes of results gathered before an Arrow batch goes out.
 OUT_BYTES = 4 << 20
+_BLANK = re.compile(r"\s")
 
 
 def byte_alphabet() -> list[str]:
@@ -58,6 +67,8 @@ class Merges:
         self.max_token = max((len(self.symbols_of(t)) for t in vocab), default=1)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.selves: dict[str, bool] = {}
+        self.spines: dict[str, tuple] = {}
+        self.starts: dict[str, tuple[str, int]] = {}
 
     def symbols_of(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -107,10 +118,52 @@ class Merges:
         if (known := self.pairs.get((a, b))) is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge([*self.symbols_of(a), *self.symbols_of(b)]) == [a, b]
+            known = self.pairs[a, b] = self._kept(a, b)
+        return known
+
+    def _kept(self, a: str, b: str) -> bool:
+        """No pair (right edge of a, left edge of b) is merged while both are edges; of equal ranks the left one comes first."""
+        rank = self.rank
+        for x, x_from, x_to in self.edges(a)[1]:
+            for y, y_from, y_to in self.edges(b)[0]:
+                r = rank.get((x, y))
+                if r is not None and x_from <= r < x_to and y_from <= r <= y_to:
+                    return False
+        return True
+
+    def edges(self, token: str):
+        """The left and the right edges of a token as it is built from symbols: (edge, rank it comes by, rank it goes by)."""
+        if (known := self.spines.get(token)) is None:
+            far, part, built = len(self.rank), self.symbols_of(token), {}
+            span = [(i, i + 1) for i in range(len(part))]
+            made = {s: -1 for s in span}
+            while len(part) > 1:
+                r, i = min((self.rank.get(pair, far), i) for i, pair in enumerate(zip(part, part[1:])))
+                if r == far:
+                    break
+                part[i : i + 2] = [part[i] + part[i + 1]]
+                span[i : i + 2] = [(span[i][0], span[i + 1][1])]
+                made[span[i]] = r
+                built[span[i]] = part[i]
+            symbols = self.symbols_of(token)
+            sides = []
+            for at, edge in ((0, 0), (1, len(symbols))):
+                steps = sorted((s for s in made if s[at] == edge), key=lambda s: s[1] - s[0])
+                sides.append([(built.get(s) or symbols[s[0]], made[s], made[t] if t else far) for s, t in zip(steps, [*steps[1:], None])])
+            known = self.spines[token] = tuple(sides)
         return known
 
+    @functools.cached_property
+    def longest(self) -> dict[str, int]:
+        """Characters of the longest token that ends with a symbol, for each last symbol."""
+        out: dict[str, int] = {}
+        for t in self.vocab:
+            x = self.symbols_of(t)[-1]
+            out[x] = max(out.get(x, 0), len(t))
+        return out
+
     def whole(self, token: str) -> bool:
+        """The token is what its own symbols are encoded to."""
         if (known := self.selves.get(token)) is None:
             known = self.selves[token] = self.merge(self.symbols_of(token)) == [token]
         return known
@@ -144,29 +197,35 @@ class Transducer:
     def __init__(self, merges: Merges):
         self.m = merges
         self.read = self.emitted = 0
-        self.last: dict[int, tuple[str, int]] = {}
-        self.recent: list[str] = []
+        self.last: dict[int, tuple[str, int]] = {}  # position -> (the token that ends there, where it starts)
+        self.recent = ""  # the last symbols, max_token of them at most
+        self.edge: str | None = None  # the last token emitted
 
     def step(self, symbol: str) -> None:
-        m = self.m
-        self.recent.append(symbol)
-        if len(self.recent) > m.max_token:
-            del self.recent[0]
-        self.read += 1
-        for size in range(min(len(self.recent), self.read - self.emitted, m.max_token), 0, -1):
-            token = "".join(self.recent[-size:])
-            if token in m.vocab and m.whole(token):
-                before = self.read - size
-                if before == 0 or before == self.emitted and self.before(before, token) or before in self.last and m.fits(self.last[before][0], token):
-                    self.last[self.read] = (token, before)
+        m, last, emitted, at = self.m, self.last, self.emitted, self.read
+        vocab, selves, pairs = m.vocab, m.selves, m.pairs
+        self.recent = recent = self.recent[-m.max_token :] + symbol
+        self.read = at + 1
+        long = len(symbol)
+        size = min(len(recent), at - emitted + long, m.longest.get(symbol, long))
+        while size >= long:
+            token = recent[-size:]
+            if token in vocab and (selves.get(token) or m.whole(token)):
+                before = at + long - size
+                if before == emitted:
+                    left = self.edge
+                elif before in last:
+                    left = last[before][0]
+                else:
+                    size -= 1
+                    continue
+                fits = True if left is None else pairs.get((left, token))
+                if fits or fits is None and m.fits(left, token):
+                    last[at + 1] = (token, before)
                     return
+            size -= 1
         raise ValueError(f"no token ends with {symbol!r}")
 
-    edge = ""
-
-    def before(self, at: int, token: str) -> bool:
-        return self.m.fits(self.edge, token)
-
     def stable(self) -> list[str]:
         """Tokens shared by the back pointers of every row that a future symbol can reach."""
         heap = [-p for p in range(max(self.emitted, self.read - self.m.max_token + 1), self.read + 1) if p in self.last or p == self.emitted]
@@ -189,14 +248,32 @@ class Transducer:
             self.last = {p: x for p, x in self.last.items() if p > to}
         return out
 
-    def feed(self, symbols) -> list[str]:
-        out = []
-        for i, s in enumerate(symbols, 1):
+    def feed(self, symbols: list[str]) -> list[str]:
+        out, most = [], 2 * self.m.sufficient_lookahead
+        for s in symbols[self.begin(symbols) :]:
             self.step(s)
-            if i % 64 == 0:
+            if self.read - self.emitted > most:
                 out += self.stable()
         return out
 
+    def begin(self, symbols: list[str]) -> int:
+        """The rows of the first symbols, which depend on these only and are remembered; how many were read."""
+        if self.read:
+            return 0
+        starts, part = self.m.starts, ""
+        for n, s in enumerate(symbols[: min(START, len(symbols) - 1)], 1):
+            part += s
+            row = starts.get(part)
+            if row is None:
+                self.step(s)
+                if len(starts) > 1_000_000:
+                    starts.clear()
+                starts[part] = self.last[n]
+            else:
+                self.last[n] = row
+                self.read, self.recent = n, part
+        return self.read
+
     def finish(self) -> list[str]:
         return self.take(self.read)
 
@@ -218,98 +295,110 @@ class WordTokenizer:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.names = dict(self.merges.names) | {i: t for t, i in self.special.items()}
+        names = self.merges.names | {i: t for t, i in self.special.items()}
+        self.raw = {i: t.encode() for i, t in names.items()}
         self.bytes = byte_alphabet()
         self.packed = {t: i.to_bytes(4, "little") for t, i in model["vocab"].items()}
-        self.parts: dict[str, bytes] = {}
-        self.words = _Remembered(self)
+        self.parts = _Remembered(self.pre_token)
+        self.words = _Remembered(self.chunk)
 
     def pre_token(self, word: str) -> bytes:
-        if (known := self.parts.get(word)) is not None:
-            return known
+        """Ids, as little-endian 32-bit integers, of a pre-token."""
         if word.isascii() and word.isprintable():
             symbols = list(word)
         else:
             symbols = [self.bytes[b] for b in word.encode("utf-8", "surrogatepass")]
         symbols[-1] += self.merges.suffix
-        if len(symbols) <= CACHE_CHARS:
-            tokens = self.merges.merge(symbols)
-        else:
-            t = Transducer(self.merges)
-            tokens = t.feed(symbols) + t.finish()
-        ids = b"".join([self.packed[x] for x in tokens])
-        if len(word) <= CACHE_CHARS:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            self.parts[word] = ids
-        return ids
+        t = Transducer(self.merges)
+        return b"".join([self.packed[x] for x in t.feed(symbols) + t.finish()])
 
     def chunk(self, raw: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of a piece of text without white space at its ends."""
+        """Ids of a piece of text without white space at its ends."""
         text = raw.lower() if raw.isascii() else unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
-        return b"".join([self.pre_token(word) for word in self.pattern.findall(text)])
+        parts = self.parts
+        return b"".join([parts[word] for word in self.pattern.findall(text)])
 
-    def plain(self, text: str) -> bytes:
+    def plain(self, text: str):
+        """Ids of a text without special tokens, slice by slice."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, not for the pattern
-            return self.chunk(text)
-        words = self.words
-        return b"".join([words[w] for w in text.split()])
-
-    def encode(self, text: str) -> bytes:
+            yield self.chunk(text)
+            return
+        words, at = self.words, 0
+        while at < len(text):
+            end = at + SLICE
+            if end < len(text) and (blank := _BLANK.search(text, end)):
+                end = blank.start()
+            elif end < len(text):
+                end = len(text)
+            yield b"".join([words[w] for w in text[at:end].split()])
+            at = end
+
+    def stream(self, text: str):
+        """Ids of a text, as little-endian 32-bit integers, slice by slice."""
         if self.special_pattern is None or "<|" not in text:
-            return self.plain(text)
-        out, at = [], 0
+            yield from self.plain(text)
+            return
+        at = 0
         for m in self.special_pattern.finditer(text):
-            out += [self.plain(text[at : m.start()]), self.special[m.group()].to_bytes(4, "little")]
+            yield from self.plain(text[at : m.start()])
+            yield self.special[m.group()].to_bytes(4, "little")
             at = m.end()
-        return b"".join([*out, self.plain(text[at:])])
+        yield from self.plain(text[at:])
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.stream(text))
+
+    def decoder(self) -> ByteDecoder:
+        return ByteDecoder(self.raw, " ")
 
     def decode(self, ids: bytes) -> str:
-        d = TokenDecoder(self.names)
+        d = self.decoder()
         return d.feed(memoryview(ids).cast("I")) + d.finish()
 
 
 class _Remembered(dict):
-    def __init__(self, tokenizer: WordTokenizer):
+    """Results by word.  When half of the room is full, what was not asked for since it was last full goes."""
+
+    def __init__(self, make, room: int = CACHE_WORDS):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.make, self.room, self.old = make, room // 2, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.chunk(word)
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.room:
+                self.old = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
-
+            self[word] = found
+        return found
 
-class TokenDecoder:
-    """Text of ids where the tokenizer names no decoder: the tokens, one space between each two."""
 
-    def __init__(self, names: dict[int, str]):
-        self.names, self.begun = names, False
-
-    def feed(self, ids) -> str:
-        names = self.names
-        text = " ".join([names[i] for i in ids if i in names])
-        lead = " " if self.begun and text else ""
-        self.begun = self.begun or bool(text)
-        return lead + text
-
-    def finish(self) -> str:
-        return ""
+def byte_level(names: dict[int, str], suffix: str = "") -> dict[int, bytes]:
+    """The bytes that each id of a byte-level vocabulary stands for; the end of a word is a space."""
+    back = {c: b for b, c in enumerate(byte_alphabet())}
+    return {i: bytes(back[c] for c in t.removesuffix(suffix) if c in back) + (b" " if suffix and t.endswith(suffix) else b"") for i, t in names.items()}
 
 
 class ByteDecoder:
-    """Text of byte-level ids: a UTF-8 state machine that holds back an unfinished character."""
+    """Text of ids: a UTF-8 state machine over the bytes of each id, which holds back an unfinished character.
+
+    between goes between the texts of two ids; ids that are not known are left out.
+    """
 
-    def __init__(self, names: dict[int, str], suffix: str = ""):
-        back = {c: b for b, c in enumerate(byte_alphabet())}
-        self.raw = {i: (bytes(back[c] for c in t.removesuffix(suffix) if c in back) + (b" " if suffix and t.endswith(suffix) else b"")) for i, t in names.items()}
-        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self, raw: dict[int, bytes], between: str = ""):
+        self.raw, self.between = raw, between.encode()
+        self.state, self.begun = codecs.getincrementaldecoder("utf-8")("replace"), False
 
     def feed(self, ids) -> str:
-        return self.state.decode(b"".join([self.raw[i] for i in ids if i in self.raw]))
+        raw = self.raw
+        known = [raw[i] for i in ids if i in raw]
+        if not known:
+            return ""
+        lead = self.between if self.begun else b""
+        self.begun = True
+        return self.state.decode(lead + self.between.join(known))
 
     def finish(self) -> str:
         return self.state.decode(b"", final=True)
@@ -328,8 +417,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             ids, out, size = [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                code = t.encode(text.as_py())
-                back = t.decode(code)
+                decoder, code, back = t.decoder(), [], []
+                for some in t.stream(text.as_py()):
+                    code.append(some)
+                    back.append(decoder.feed(memoryview(some).cast("I")))
+                back.append(decoder.finish())
+                code, back = b"".join(code), "".join(back)
                 ids.append(doc)
                 out.append((code, len(code) // 4, back))
                 size += len(code) + len(back)
