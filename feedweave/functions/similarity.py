@@ -13,16 +13,44 @@ from pyspark.sql.types import DoubleType
 
 BLEND = (0.4, 0.3, 0.3)
 _BATCH = 4096
+#: Characters of the longer string from which whole numbers beat rows of words.
+_LONG = 400
 
 
 def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
-    """Length of the longest common subsequence of each pair."""
-    out = np.zeros(len(a), np.int64)
-    order = np.argsort([len(x) for x in a], kind="stable")
-    for at in range(0, len(order), _BATCH):
+    """Length of the longest common subsequence of each pair; pairs that repeat are compared once."""
+    number: dict[tuple[str, str], int] = {}
+    back = np.fromiter((number.setdefault(p, len(number)) for p in zip(a, b, strict=True)), np.int64, len(a))
+    pairs = list(number)
+    out = np.zeros(len(pairs), np.int64)
+    size = np.array([max(len(x), len(y)) for x, y in pairs], np.int64)
+    masks: dict[str, dict[str, int]] = {}
+    for i in np.flatnonzero(size > _LONG):
+        x, y = sorted(pairs[i], key=len)
+        if len(masks) > 64 and y not in masks:
+            masks.clear()
+        out[i] = _lcs_long(x, y, masks)
+    short = np.flatnonzero(size <= _LONG)
+    for at in range(0, len(order := short[np.argsort(size[short], kind="stable")]), _BATCH):
         part = order[at : at + _BATCH]
-        out[part] = _lcs_block([a[i] for i in part], [b[i] for i in part])
-    return out
+        out[part] = _lcs_block([pairs[i][0] for i in part], [pairs[i][1] for i in part])
+    return out[back]
+
+
+def _lcs_long(x: str, y: str, masks: dict[str, dict[str, int]]) -> int:
+    """One pair, a bit for each character of y in one whole number, a step for each of x."""
+    n = len(y)
+    of = masks.get(y)
+    if of is None:
+        codes = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), np.uint32)
+        of = masks[y] = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes)}
+    full = v = (1 << n) - 1
+    for c in x:
+        m = of.get(c)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
 
 
 def _codes(texts: list[str], alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +102,8 @@ def ratios(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def token_sort_ratios(a: list[str], b: list[str]) -> np.ndarray:
-    tidy = lambda t: " ".join(sorted(t.split()))
-    return ratios([tidy(x) for x in a], [tidy(x) for x in b])
+    tidy = {t: " ".join(sorted(t.split())) for t in {*a, *b}}
+    return ratios([tidy[x] for x in a], [tidy[x] for x in b])
 
 
 def token_set_ratios(a: list[str], b: list[str], leading_space: bool = False) -> np.ndarray:
@@ -85,11 +113,21 @@ def token_set_ratios(a: list[str], b: list[str], leading_space: bool = False) ->
     no rule for empty strings.
     """
     left, right, common = [], [], []
+    words: dict[str, tuple[frozenset, str]] = {}
+
+    def of(x: str) -> tuple[frozenset, str]:
+        known = words.get(x)
+        if known is None:
+            tokens = frozenset(x.split())
+            known = words[x] = (tokens, " ".join(sorted(tokens)))
+        return known
+
     for x, y in zip(a, b, strict=True):
-        p, q = set(x.split()), set(y.split())
-        common.append(" ".join(sorted(p & q)))
-        left.append(" ".join(sorted(p - q)))
-        right.append(" ".join(sorted(q - p)))
+        (p, px), (q, qx) = of(x), of(y)
+        both = p & q
+        common.append(" ".join(sorted(both)) if both else "")
+        left.append(" ".join(sorted(p - both)) if both else px)
+        right.append(" ".join(sorted(q - both)) if both else qx)
     s, p, q = (np.array([len(t) for t in part], np.float64) for part in (common, left, right))
     shared = lcs_lengths(left, right)
     gap_p = (p > 0) * 1.0 if leading_space else (s > 0) * 1.0

@@ -8,7 +8,7 @@ leave; distributed, for shows that exceed one task.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedweave.config import Alignment
 
@@ -17,18 +17,18 @@ TASK_PAIRS = 2_000_000
 SCHEMA = "show string, ref_idx bigint, dl_idx bigint, score double, rank bigint"
 
 
-def _tidy(scores: DataFrame, tolerance: float) -> DataFrame:
+def _tidy(scores: DataFrame, tolerance: float | Column) -> DataFrame:
     return scores.select(F.col("show").cast("string").alias("show"), F.col("ref_idx").cast("bigint").alias("ref_idx"), F.col("dl_idx").cast("bigint").alias("dl_idx"), F.col("score").cast("double").alias("score")).where(F.col("score") >= tolerance)
 
 
-def fold(scores: DataFrame, tolerance: float) -> DataFrame:
+def fold(scores: DataFrame, tolerance: float | Column) -> DataFrame:
     pairs = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ref_idx", "dl_idx")))
     taken = "aggregate(p, cast(array() as array<struct<neg:double,ref_idx:bigint,dl_idx:bigint>>), (acc, x) -> if(exists(acc, y -> y.ref_idx = x.ref_idx or y.dl_idx = x.dl_idx), acc, array_append(acc, x)))"
     rows = _tidy(scores, tolerance).groupBy("show").agg(pairs.alias("p")).select("show", F.posexplode(F.expr(taken)).alias("rank", "x"))
     return rows.select("show", "x.ref_idx", "x.dl_idx", (-F.col("x.neg")).alias("score"), (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
-def grouped(scores: DataFrame, tolerance: float) -> DataFrame:
+def grouped(scores: DataFrame, tolerance: float | Column) -> DataFrame:
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "ref_idx", "dl_idx"], ascending=[False, True, True], kind="stable")
         refs, dls, keep = set(), set(), []
@@ -44,7 +44,7 @@ def grouped(scores: DataFrame, tolerance: float) -> DataFrame:
     return _tidy(scores, tolerance).groupBy("show").applyInPandas(take, SCHEMA)
 
 
-def rounds(scores: DataFrame, tolerance: float) -> DataFrame:
+def rounds(scores: DataFrame, tolerance: float | Column) -> DataFrame:
     from feedweave.operators.upsert import cut
 
     left = cut(_tidy(scores, tolerance).distinct())
@@ -58,9 +58,14 @@ def rounds(scores: DataFrame, tolerance: float) -> DataFrame:
     return done.withColumn("rank", F.row_number().over(Window.partitionBy("show").orderBy(*order)).cast("bigint"))
 
 
-def greedy(scores: DataFrame, alignment: Alignment = Alignment(), method: str = "grouped") -> DataFrame:
-    """show, ref_idx, dl_idx, score, rank (order of commitment).  auto: grouped where every show fits a task, else rounds."""
-    tolerance = alignment.match_tolerance
+def greedy(scores: DataFrame, alignment: Alignment | dict[str, Alignment] = Alignment(), method: str = "auto") -> DataFrame:
+    """show, ref_idx, dl_idx, score, rank (order of commitment), above the tolerance of each show.
+
+    auto: grouped where every show fits a task, else rounds.
+    """
+    from feedweave.operators.linkage import by_show
+
+    tolerance = by_show(alignment, lambda x: F.lit(x.match_tolerance))
     if method == "auto":
         most = _tidy(scores, tolerance).groupBy("show").count().agg(F.max("count")).first()[0] or 0
         method = "grouped" if most <= TASK_PAIRS else "rounds"

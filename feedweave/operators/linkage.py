@@ -1,28 +1,23 @@
-"""Scoring of (reference, download) pairs: features of each row, lossless blocking, the score.
+"""Scoring of (reference, download) pairs: features of each row, the score of given pairs, and of all pairs of all shows.
 
-Rows are normalised once, before any pair is made.  Pairs that can only score zero are never made: a pair without a common
-anchor token survives only with a title similarity of at least WEAK_ANCHOR, which bounds the ratio of the titles' lengths
-and the letters they have in common.  Titles are compared first; descriptions only where a pair survives its rejects.
+Rows are normalised once, before any pair is made.  ``score`` is the definition, column expressions over explicit pairs;
+``align_scores`` gives the same result for all pairs of every show through blocks (operators.blocks), or equi-joins where only
+equal ids and titles count.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedweave.config import CERTAINTY, CONTAINMENT_BONUS, MONTHS, OVERLAP_BONUS, RESCUE, WEAK_ANCHOR, Alignment
 from feedweave.functions import scalars, similarity, text
 from feedweave.functions.text import TitleRules
+from feedweave.operators import blocks
 from feedweave.operators.upsert import cut
 
 #: Numbers that must agree, in order.
 MARKERS = (r"\blistener\s+tales(?:\s+episode)?\s+(\d+)\b", r"\bpart\s+(\d+)\b", r"\b(?:volume|vol\.?)\s*(\d+)\b", r"\bepisode\s+(\d+)\b")
 SEMANTICS = ("legacy", "kernel", "token_ratio", "exact")
-#: WEAK_ANCHOR <= 0.7 * bound + 0.3 on the ratio of 2 * min to the sum of the lengths.
-_BOUND = (WEAK_ANCHOR - 0.3) / 0.7
-_BAND = _BOUND / (2 - _BOUND)
-_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def normalised(show: str, title: str, rules: dict[str, TitleRules]) -> Column:
@@ -34,50 +29,50 @@ def normalised(show: str, title: str, rules: dict[str, TitleRules]) -> Column:
     return F.expr(f"case {known} when coalesce({show}, '') = '' then {text.alignment_title(title)} else {text.alignment_title(title, TitleRules())} end")
 
 
-def features(episodes: DataFrame, alignment: Alignment = Alignment(), rules: dict[str, TitleRules] | None = None) -> DataFrame:
-    """show, idx, id, title_n, desc_n, pub_date, anchors, markers, letters of rows (show, idx, id, title, description, pub_date)."""
+def features(episodes: DataFrame, alignment: Alignment | dict[str, Alignment] = Alignment(), rules: dict[str, TitleRules] | None = None) -> DataFrame:
+    """show, idx, id, title_n, desc_n, pub_date, anchors, markers of rows (show, idx, id, title, description, pub_date)."""
     out = episodes.select(
         "show", "idx", F.coalesce("id", F.lit("")).alias("id"), "pub_date",
         normalised("show", "coalesce(title, '')", rules or {}).alias("title_n"),
         F.expr(text.normalize_text("coalesce(description, '')")).alias("desc_n"),
     )
-    return with_tokens(out, alignment.stopwords)
+    return with_tokens(out, by_show(alignment, lambda x: F.array(*[F.lit(w) for w in x.stopwords])))
+
 
+def by_show(alignment: Alignment | dict[str, Alignment], value, show: str = "show") -> Column:
+    """value(alignment) of each row's show; shows that a dict lacks have the default alignment's."""
+    if isinstance(alignment, Alignment):
+        return value(alignment)
+    alike: dict[Alignment, list[str]] = {}
+    for name, x in sorted(alignment.items()):
+        alike.setdefault(x, []).append(name)
+    out = value(Alignment())
+    for x, names in alike.items():
+        out = F.when(F.col(show).isin(names), value(x)).otherwise(out)
+    return out
 
-def with_tokens(df: DataFrame, stopwords: tuple[str, ...]) -> DataFrame:
-    stop = F.array(*[F.lit(w) for w in stopwords])
+
+def with_tokens(df: DataFrame, stopwords: tuple[str, ...] | Column) -> DataFrame:
+    stop = stopwords if isinstance(stopwords, Column) else F.array(*[F.lit(w) for w in stopwords])
     words = F.filter(F.split("title_n", r"\s+"), lambda t: t != "")
     marks = [F.expr(f"try_cast(nullif(regexp_extract(title_n, {text.SPARK.text(p)}, 1), '') as decimal(38,0))") for p in MARKERS]
-    return df.withColumns({
-        "anchors": F.array_except(F.array_distinct(words), stop),
-        "markers": F.array(*marks),
-        "letters": F.transform(F.split(F.lit(_LETTERS), ""), lambda c: F.length("title_n") - F.length(F.replace(F.col("title_n"), c, F.lit("")))),
-    })
+    return df.withColumns({"anchors": F.array_except(F.array_distinct(words), stop), "markers": F.array(*marks)})
 
 
 def sides(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("show",)) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in keep])
 
 
-def candidate_pairs(refs: DataFrame, dls: DataFrame, semantics: str = "legacy", all_pairs: bool = False) -> DataFrame:
-    """Pairs of one show that can score above zero (all_pairs: all of them)."""
-    a, b = sides(refs, "a"), sides(dls, "b")
-    if all_pairs:
-        return a.join(b, "show")
-    token = lambda df, p: df.select("show", f"{p}_idx", F.explode(f"{p}_anchors").alias("token"))
-    keys = token(a, "a").join(token(b, "b"), ["show", "token"]).select("show", "a_idx", "b_idx")
-    if semantics == "kernel":
-        same = a.where("a_id <> ''").join(b, [a["show"] == b["show"], F.col("a_id") == F.col("b_id")]).select(a["show"], "a_idx", "b_idx")
-        keys = keys.union(same)
-    # No common anchor: similar length (by logarithmic bucket, then exactly) and enough letters in common.
-    bucket = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / -math.log(_BAND)).cast("int")
-    left = a.select("show", "a_idx", F.length("a_title_n").alias("a_len"), "a_letters", "a_anchors", bucket("a_title_n").alias("bucket"))
-    right = b.select("show", "b_idx", F.length("b_title_n").alias("b_len"), "b_letters", "b_anchors", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + bucket("b_title_n"))).alias("bucket"))
-    common = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = (F.least("a_len", "b_len") >= _BAND * F.greatest("a_len", "b_len") - 1e-9) & (F.least("a_len", "b_len") > 0) & (2 * common >= _BOUND * (F.col("a_len") + F.col("b_len")) - 1e-9)
-    rest = left.join(right, [left["show"] == right["show"], left["bucket"] == right["bucket"], near & ~F.arrays_overlap("a_anchors", "b_anchors")]).select(left["show"], "a_idx", "b_idx")
-    keys = keys.union(rest).distinct()
-    return keys.join(a, ["show", "a_idx"]).join(b, ["show", "b_idx"])
+def all_pairs(refs: DataFrame, dls: DataFrame) -> DataFrame:
+    """Every pair of a show, with the features of both sides; what score() takes."""
+    return sides(refs, "a").join(sides(dls, "b"), "show")
+
+
+def equal_pairs(refs: DataFrame, dls: DataFrame) -> DataFrame:
+    """show, ref_idx, dl_idx, score 1 of the pairs with equal ids or titles, by two equi-joins."""
+    keyed = lambda df, side, key: df.where(F.col(key) != "").select("show", F.col("idx").alias(side), key)
+    found = [keyed(refs, "ref_idx", key).join(keyed(dls, "dl_idx", key), ["show", key]).select("show", "ref_idx", "dl_idx") for key in ("id", "title_n")]
+    return found[0].union(found[1]).distinct().withColumn("score", F.lit(1.0))
 
 
 def _overlap() -> Column:
@@ -166,10 +161,12 @@ def score(pairs: DataFrame, alignment: Alignment = Alignment(), semantics: str =
     return kept.select(*out, final.alias("score"))
 
 
-def align_scores(refs: DataFrame, dls: DataFrame, alignment: Alignment = Alignment(), rules: dict[str, TitleRules] | None = None, semantics: str = "legacy", all_pairs: bool = False) -> DataFrame:
-    """Scores above zero of two sets of rows (show, idx, id, title, description, pub_date).
+def align_scores(refs: DataFrame, dls: DataFrame, alignment: Alignment | dict[str, Alignment] = Alignment(), rules: dict[str, TitleRules] | None = None, semantics: str = "legacy", least: float = 0.0) -> DataFrame:
+    """Scores above zero, and at least `least`, of two sets of rows (show, idx, id, title, description, pub_date).
 
-    Features are materialised: three joins read them, and the optimizer would normalise again in each, and in their filters.
+    Features are materialised, because blocks read them several times.
     """
+    if semantics not in SEMANTICS:
+        raise ValueError(f"unknown semantics {semantics!r}; one of {', '.join(SEMANTICS)}")
     a, b = cut(features(refs, alignment, rules)), cut(features(dls, alignment, rules))
-    return score(candidate_pairs(a, b, semantics, all_pairs or semantics in ("token_ratio", "exact")), alignment, semantics).where("score > 0")
+    return equal_pairs(a, b) if semantics == "exact" else blocks.scores(a, b, alignment, semantics, least)

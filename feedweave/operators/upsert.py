@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,15 +11,21 @@ from feedweave.operators.rules import public
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder all executors share (spark.checkpoint.dir; a temporary one only where it is unset)."""
+    """Materialise df as a table in the folder all executors share (spark.checkpoint.dir); lineage ends there.
+
+    Unset, it is a temporary folder in local mode and an error elsewhere.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="feedweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/feedweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def insert_only(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:

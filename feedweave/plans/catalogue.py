@@ -1,7 +1,8 @@
 """Every query of the record-linkage library by name, and the SQL it is compared with.
 
-The tables stand in for feeds: a document's first line is a title, its language and source a show, an order's date the
-publication date, events are scored pairs and timed segments, parts are object names.
+The tables stand in for feeds: a document's first line is a title and the rest its description, its language and source a
+show, an order's date the publication date; parts are object names and short episodes, events are scored pairs and timed
+segments.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from feedweave.config import Alignment, SourceFilter
 from feedweave.functions import scalars, similarity, text
 from feedweave.functions.text import DUCK, SPARK, Replacement, TitleRules
 from feedweave.operators import assign, fuse, linkage, rules, trace, upsert, workplan
-from feedweave.plans import download
+from feedweave.plans import download, linkage_sql
 from feedweave.plans.merge import match_titles, merge
 from feedweave.sources import readers, sinks
 
@@ -52,7 +53,7 @@ def projection(name: str, source: str, key: str, build, where=None) -> None:
 
 def title_of(d: text.Dialect) -> str:
     newline = "'\\n'" if d.spark else "chr(10)"
-    return f"substring(split_part(text, {newline}, 1), 1, 120)"
+    return f"split_part(text, {newline}, 1)"
 
 
 DOC_TITLE = f"SELECT doc_id, lang, source, {title_of(DUCK)} AS title FROM documents"
@@ -218,12 +219,12 @@ def _marker_mismatch(spark, sf):
     return _token_pairs(spark, sf).select(F.col("a_p_partkey").alias("p_partkey"), linkage.marker_mismatch().alias("mismatch"))
 
 
-# Similarity of all pairs of distinct part names.
+# Similarity of all pairs of names of one brand.
 def _names(spark, sf) -> DataFrame:
-    return table(spark, sf, "part").select("p_name").distinct()
+    return table(spark, sf, "part").select("p_brand", "p_name").distinct()
 
 
-_LCS = """WITH RECURSIVE n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS a, b.p_name AS b FROM n a, n b),
+_LCS = """WITH RECURSIVE n AS (SELECT DISTINCT p_brand, p_name FROM part), p AS (SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM n a JOIN n b ON a.p_brand = b.p_brand),
 tok AS MATERIALIZED (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb,
   array_to_string(list_sort(list_filter(list_distinct(string_split(a, ' ')), lambda w: NOT list_contains(string_split(b, ' '), w))), ' ') AS da,
   array_to_string(list_sort(list_filter(list_distinct(string_split(b, ' ')), lambda w: NOT list_contains(string_split(a, ' '), w))), ' ') AS db,
@@ -246,8 +247,8 @@ sim AS (SELECT a, b,
 
 def _similarity_query(name: str, udf, sql: str) -> None:
     def run(spark, sf):
-        a, b = _names(spark, sf).select(F.col("p_name").alias("a"), F.lit(1).alias("k")), _names(spark, sf).select(F.col("p_name").alias("b"), F.lit(1).alias("k"))
-        return a.join(b, "k").select("a", "b", F.round(udf("a", "b"), 6).alias("sim"))
+        a, b = _names(spark, sf).withColumnRenamed("p_name", "a"), _names(spark, sf).withColumnRenamed("p_name", "b")
+        return a.join(b, "p_brand").select("a", "b").distinct().select("a", "b", F.round(udf("a", "b"), 6).alias("sim"))
 
     QUERIES[name] = run
     ORACLE_SQL[name] = _LCS + f"SELECT a, b, round({sql}, 6) AS sim FROM sim"
@@ -264,7 +265,7 @@ _similarity_query("blended_similarity", similarity.similarity, "0.4 * ratio + 0.
 def sides_of_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select(
         F.concat_ws("/", "lang", "source").alias("show"), F.col("doc_id").alias("idx"), F.concat(F.lit("d"), F.col("doc_id")).alias("id"),
-        F.expr(title_of(SPARK)).alias("title"), F.expr("substring(text, length(split_part(text, '\\n', 1)) + 2, 200)").alias("description"),
+        F.expr(title_of(SPARK)).alias("title"), F.expr("substring(text, length(split_part(text, '\\n', 1)) + 2)").alias("description"),
         F.concat(F.lit("https://example.com/"), "doc_id", F.lit(".mp3")).alias("content"), F.lit(None).cast("string").alias("image"), F.expr("(doc_id div 20) % 2").alias("side"),
     )
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("timestamp")).alias("pub_date"))
@@ -272,41 +273,60 @@ def sides_of_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side")
 
 
-@query("exact_backend", f"""WITH t AS (SELECT doc_id, lang || '/' || source AS show, doc_id // 20 % 2 AS side, {text.alignment_title(title_of(DUCK), TitleRules(), DUCK)} AS n FROM documents)
-SELECT a.show, a.doc_id AS ref_idx, b.doc_id AS dl_idx, 1.0 AS score FROM t a JOIN t b ON a.show = b.show AND a.n = b.n AND a.n <> '' WHERE a.side = 0 AND b.side = 1""")
+# Parts as episodes: references and downloads by parity of the key.
+def sides_of_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    columns = [F.expr(sql).alias(c) for c, sql in linkage_sql.EPISODE.items()]
+    rows = table(spark, sf_dir, "part").select(*columns).withColumn("pub_date", F.timestamp_seconds(F.lit(1704067200) + F.col("hours") * 3600)).drop("hours")
+    return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+@query("exact_backend", linkage_sql.EXACT)
 def _exact(spark, sf):
-    refs, dls = sides_of_documents(spark, sf)
-    a, b = upsert.cut(linkage.features(refs)), upsert.cut(linkage.features(dls))
-    pairs = linkage.sides(a, "a").join(linkage.sides(b, "b"), "show").where((F.col("a_title_n") == F.col("b_title_n")) | (F.col("a_id") == F.col("b_id")))
-    return linkage.score(pairs, semantics="exact").where("score > 0")
+    return linkage.align_scores(*sides_of_parts(spark, sf), semantics="exact")
 
 
-for _name, _semantics in (("pair_score_legacy", "legacy"), ("pair_score_kernel", "kernel")):
-    QUERIES[_name] = lambda spark, sf, s=_semantics: linkage.align_scores(*sides_of_documents(spark, sf), semantics=s).select("show", "ref_idx", "dl_idx", F.round("score", 6).alias("score"))
+for _name in ("legacy", "kernel"):
+    QUERIES[f"pair_score_{_name}"] = lambda spark, sf, s=_name: _rounded(linkage.align_scores(*sides_of_parts(spark, sf), semantics=s))
+    ORACLE_SQL[f"pair_score_{_name}"] = linkage_sql.PAIR_SCORES[_name]
 
 
-@query("greedy_alignment")
+@query("greedy_alignment", linkage_sql.ALIGNMENT)
 def _alignment(spark, sf):
-    return assign.greedy(linkage.align_scores(*sides_of_documents(spark, sf)))
+    return _rounded(assign.greedy(linkage.align_scores(*sides_of_parts(spark, sf))))
 
 
-@query("fold_dedup")
+@query("fold_dedup", linkage_sql.FOLD)
 def _fold_dedup(spark, sf):
-    refs, dls = sides_of_documents(spark, sf)
-    return fuse.fold_dedup([refs, dls]).select("show", "idx", "id", "title")
+    return fuse.fold_dedup([*sides_of_parts(spark, sf)]).select("show", "idx", "id", "title")
 
 
-@query("merged_episodes")
+@query("merged_episodes", linkage_sql.EPISODES)
 def _merged(spark, sf):
-    refs, dls = sides_of_documents(spark, sf)
-    return merge([refs], [dls]).episodes
+    refs, dls = sides_of_parts(spark, sf)
+    return _rounded(merge([refs], [dls], explain=False).episodes).withColumns({"source": F.array_join("source", ","), "upload_seconds": F.unix_seconds("upload_date")}).drop("upload_date")
 
 
-@query("match_files")
+@query("match_files", linkage_sql.FILES)
 def _match_files(spark, sf):
-    refs, dls = sides_of_documents(spark, sf)
+    refs, dls = sides_of_parts(spark, sf)
     files = refs.select("show", "idx", F.expr(text.create_slug("title")).alias("stem"))
-    return match_titles(files, dls.select("show", "idx", "title"))
+    return _rounded(match_titles(files, dls.select("show", "idx", "title")))
+
+
+# The same over whole documents, whose long titles and descriptions the other engine cannot align in time.
+@query("pair_score_documents")
+def _document_scores(spark, sf):
+    return _rounded(linkage.align_scores(*sides_of_documents(spark, sf)))
+
+
+@query("merged_documents")
+def _merged_documents(spark, sf):
+    refs, dls = sides_of_documents(spark, sf)
+    return merge([refs], [dls], explain=False).episodes
 
 
 # Scored pairs of events: users against hours of the month, per kind of event; scores tie often.
@@ -542,12 +562,12 @@ def _sponsor_join(spark, sf):
     return out.select("c_custkey", "video_id", F.size("sponsor_segments").cast("bigint").alias("n"), F.round(F.aggregate("sponsor_segments", F.lit(0.0), lambda acc, x: acc + x["end"]), 4).alias("v"))
 
 
-@query("download_plan")
+@query("download_plan", linkage_sql.PLAN)
 def _download_plan(spark, sf):
-    refs, dls = sides_of_documents(spark, sf)
-    listing = dls.where("idx % 3 = 0").select(F.expr(text.create_slug("title")).alias("stem"), "content", F.lit(None).cast("string").alias("video_id")).withColumnRenamed("content", "source")
+    refs, dls = sides_of_parts(spark, sf)
+    listing = dls.where("idx % 3 = 0").select(F.expr(text.create_slug("title")).alias("stem"), F.col("content").alias("source"), F.lit(None).cast("string").alias("video_id"))
     segments = spark.createDataFrame([], "video_id string, pos bigint, start double, end double")
-    return download.queue(merge([refs], [dls]), segments, listing, 1000).select("show", "idx", "title", "place")
+    return download.queue(merge([refs], [dls], explain=False), segments, listing, 1000).select("show", "idx", "title", "place")
 
 
 # SHOW is a reserved word of the other engine.
@@ -557,6 +577,6 @@ for _name, _sql in ORACLE_SQL.items():
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused episodes of all shows."""
-    return _merged(spark, sf_dir)
+    return _merged_documents(spark, sf_dir)
 
 

@@ -5,16 +5,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedweave.config import Alignment, SourceFilter, Weights
-from feedweave.operators import assign, fuse, linkage, rules, trace, upsert, workplan
+from feedweave.operators import assign, blocks, fuse, linkage, rules, trace, upsert, workplan
 
 ROW = "show string, idx bigint, id string, title string, description string, pub_date timestamp"
 DAY = dt.datetime(2024, 3, 1)
 
 
-def scores_of(spark, refs, dls, semantics="legacy", all_pairs=False, alignment=Alignment()):
+def scores_of(spark, refs, dls, semantics="legacy", explicit=False, alignment=Alignment(), **how):
+    """Scores in blocks, or (explicit) by the column expressions over every pair."""
     frame = lambda rows: spark.createDataFrame([("s", i, *r) for i, r in enumerate(rows)], ROW)
-    a, b = linkage.features(frame(refs), alignment), linkage.features(frame(dls), alignment)
-    found = linkage.score(linkage.candidate_pairs(a, b, semantics, all_pairs), alignment, semantics).where("score > 0")
+    if explicit:
+        a, b = linkage.features(frame(refs), alignment), linkage.features(frame(dls), alignment)
+        found = linkage.score(linkage.all_pairs(a, b), alignment, semantics).where("score > 0")
+    elif how:
+        found = blocks.scores(linkage.features(frame(refs), alignment), linkage.features(frame(dls), alignment), alignment, semantics, **how)
+    else:
+        found = linkage.align_scores(frame(refs), frame(dls), alignment, semantics=semantics)
     return {(r["ref_idx"], r["dl_idx"]): round(r["score"], 6) for r in found.collect()}
 
 
@@ -39,22 +45,50 @@ def test_rejects(spark):
     assert scores_of(spark, [], [("b", "x", "", None)]) == {}
 
 
-def test_blocking_equals_all_pairs(spark):
+def test_blocks_equal_all_pairs(spark):
+    """Over the whole alphabet of normalised titles, with ids, dates, descriptions, markers and several chunks."""
     rng = random.Random(3)
-    words = ["moon", "haunting", "family", "the", "part 1", "part 2", "episode 5", "river", "rivers", "may", "ghost", "ghosts"]
-    rows = lambda p: [(f"{p}{i % 5}", " ".join(rng.choices(words, k=rng.randint(0, 5))), rng.choice(["", "same", "other text"]), rng.choice([None, DAY, DAY + dt.timedelta(days=9)])) for i in range(40)]
+    words = ["moon", "haunting", "family", "the", "part 1", "part 2", "episode 5", "river", "rivers", "may", "ghost", "ghosts", "a_b_c_d", "a_b_c_e", "x", "99", "Vol. 3"]
+    rows = lambda p: [(f"{p}{i % 9}" if i % 3 else "", " ".join(rng.choices(words, k=rng.randint(0, 5))), rng.choice(["", "same", "other text", "same text here"]), rng.choice([None, DAY, DAY + dt.timedelta(days=9), DAY - dt.timedelta(hours=60)])) for i in range(60)]
     refs, dls = rows("x"), rows("x")
-    for semantics in ("legacy", "kernel"):
-        assert scores_of(spark, refs, dls, semantics) == scores_of(spark, refs, dls, semantics, True)
+    for semantics in ("legacy", "kernel", "token_ratio", "exact"):
+        want = scores_of(spark, refs, dls, semantics, True)
+        assert scores_of(spark, refs, dls, semantics) == want
+        if semantics != "exact":
+            assert scores_of(spark, refs, dls, semantics, chunk=17, least=0.6) == {k: v for k, v in want.items() if v >= 0.6}
     assert all(0 < v <= 1 for v in scores_of(spark, refs, dls).values())
 
 
-def test_other_backends(spark):
-    refs, dls = [("a", "Moon", "", None), ("k", "Sun", "", None)], [("b", "moon", "", None), ("k", "star", "", None)]
-    assert scores_of(spark, refs, dls, "exact", True) == {(0, 0): 1.0, (1, 1): 1.0}
-    assert scores_of(spark, refs, dls, "token_ratio", True)[0, 0] > 0.79
-    with pytest.raises(ValueError, match="semantics"):
-        scores_of(spark, refs, dls, "other")
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_lose_no_pair(spark, seed):
+    """Titles without common anchors around the limit, of every character that normalisation keeps."""
+    rng = random.Random(seed)
+    alphabet = "ab_9z " if seed % 2 else "abcdefghijklmnopqrstuvwxyz0123456789_ "
+    base = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(12)]
+    near = lambda t: "".join(c if rng.random() > 0.12 else rng.choice(alphabet) for c in t)
+    refs, dls = ([("", near(rng.choice(base)), "same", None) for _ in range(40)] for _ in range(2))
+    assert scores_of(spark, refs, dls) == scores_of(spark, refs, dls, explicit=True)
+
+
+def test_alignment_by_show(spark):
+    """Weights, stop words and tolerance of each show apply to its own rows."""
+    frame = lambda title, day: spark.createDataFrame([(show, 0, show + title, title, "d", day) for show in ("a", "b", "c")], ROW)
+    refs, dls = frame("lost city haunting", DAY), frame("lost city haunting again here", DAY + dt.timedelta(days=30))
+    own = {"b": Alignment(weights=Weights(date=0.01), match_tolerance=0.9), "c": Alignment(extra_stopwords=("again", "here", "lost"))}
+    got = {r["show"]: r["score"] for r in linkage.align_scores(refs, dls, own).collect()}
+    one = lambda how: linkage.align_scores(refs, dls, how).where("show = 'a'").first()["score"]
+    assert got == {"a": one(Alignment()), "b": one(own["b"]), "c": one(own["c"])} and len(set(got.values())) >= 2
+    scores = spark.createDataFrame([("a", 0, 0, 0.8), ("b", 0, 0, 0.8)], "show string, ref_idx bigint, dl_idx bigint, score double")
+    assert [r["show"] for r in assign.greedy(scores, own).collect()] == ["a"]
+
+
+def test_long_strings_are_compared_whole():
+    from feedweave.functions import similarity
+
+    rng = random.Random(8)
+    a = ["".join(rng.choices("abcé ", k=rng.randint(300, 900))) for _ in range(6)]
+    b = [x[: len(x) // 2] + "zz" + x[len(x) // 2 :] for x in a]
+    assert similarity.lcs_lengths(a, b).tolist() == [len(x) for x in a]
 
 
 def plain_greedy(rows, tolerance):
