@@ -1,37 +1,51 @@
 """Near-duplicate groups: universal-hash minima, banding, signature verification, exact confirmation, components.
 
 1. One Arrow pass makes, per document, the set of its 5-word shingles (64-bit hashes) and from it a fingerprint,
-   ``BANDS`` band keys over ``BANDS * ROWS`` universal-hash minima and a bit signature.
+   ``BANDS`` band keys over ``BANDS * ROWS`` universal-hash minima, and a signature: the lowest byte of each minimum and a
+   bit set of the shingles.
 2. Documents with equal sets collapse into one representative, so exact copies never meet each other.
-3. Band buckets with more than one representative give candidates.  In a bucket every member is compared with one
-   centre, the member that shares most buckets, and not with every other member: a group of k copies costs k pairs.
-4. Candidates pass the bit signature (each differing bit is a shingle that only one side has, so the bound on the
-   similarity is never too low) and then the full sets.
+3. Band buckets with more than one representative give candidates.  In a bucket every member is compared with its
+   centre, the member with the smallest id, and not with every other member: a group of k copies costs k pairs.
+4. Candidates pass the signatures (below), then the full sets, which travel once per document and once per centre and task.
 5. Components of the confirmed links by alternating large-star and small-star.
-6. Buckets that still hold several components are finished: members outside the centre's component against the
-   members of other components, through the same signature bound and the same confirmation, so that no link is
-   missed because its ends were never the centre.
+6. Buckets that still hold several components are finished, so that no link is missed because neither end was the centre:
+   members outside the centre's component are the queries, and meet all members of other components.  Buckets of up to MANY
+   members do so by a join; in larger ones blocks of queries meet blocks of members, and only pairs whose signatures allow a
+   link leave the block.  All go through the same confirmation.
 
-Two sets at the threshold 0.75 share no band with probability (1 - 0.75**3)**32 < 3e-8.
+What can be missed, for two sets at the threshold 0.75: no common band, (1 - 0.75**3)**32 < 3e-8; fewer than ``AGREE`` equal
+bytes of 96, < 1e-8.  The bit sets never reject a link: each differing bit is a shingle that only one side has.
+
+The work of step 6 is the number of queries times the members that share a bucket with them: linear in the number of
+documents for groups of bounded size, quadratic in the size of a group of which a fixed share is near, but not at, the threshold.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; rows with one
-doc_id (null included) are one document with the links of them all; ties go to the smaller doc_id; an empty table gives
-an empty table; other columns are not read.  A null doc_id is linked with nothing and kept.
+doc_id are one document with the links of them all; ties go to the smaller doc_id; an empty table gives
+an empty table; other columns are not read.  Rows with a null doc_id are one document, linked with nothing and kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedweave.llm.common import cut, gram_hashes, heavy_map, lower_bytes, mix, span_hashes, table, texts, word_spans
+from feedweave.llm.common import cut, drop, gram_hashes, heavy_map, lower_bytes, mix, span_hashes, table, texts, word_spans
+from feedweave.session import ship
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
 BANDS, ROWS = 32, 3
-BITS = 4096
-_LONGS = BITS // 64
+#: Equal bytes of the BANDS * ROWS minima that a candidate needs, and bits of the shingles' bit set.
+AGREE, BITS = 44, 1024
+_PLANE, _BIT_LONGS = -(-BANDS * ROWS // 64), BITS // 64
+#: Members of a bucket that are paired by a join, and rows of a side of a block in larger ones.
+MANY, BLOCK = 64, 2048
+#: Documents named in a broadcast at most, and bytes of sets that one task compares, about.
+BROADCAST_ROWS, TASK_BYTES = 200_000, 64 << 20
+#: The columns that tell sets apart.
+SET = ["f1", "f2", "n_shingles"]
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,97 +75,164 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key
 
 
-def bit_signature(values: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(values >> np.uint64(20)) % np.uint64(BITS)] = True
-    return np.packbits(bits).view(np.int64)
+def signature(values: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The last byte of each (mixed) minimum as eight planes of one bit each, then the bit set of the shingles, as longs."""
+    planes = np.zeros((8, 64 * _PLANE), np.uint8)
+    planes[:, : len(low)] = np.unpackbits((mix(low) & np.uint64(255)).astype(np.uint8)[:, None], axis=1).T
+    bits = np.zeros(BITS, np.uint8)
+    bits[(values >> np.uint64(20)) % np.uint64(BITS)] = 1
+    return np.packbits(np.concatenate([planes.ravel(), bits])).view(np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (two longs), bands, bits for each row of (doc_id, text)."""
+    """doc_id, n_shingles, fingerprint (two longs), bands, marks for each row of (doc_id, text)."""
 
     def run(batches):
+        kind = pa.list_(pa.int64())
         for batch in batches:
-            ids, n, f1, f2, bands, bits = [], [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, f1, f2, bands, marks = [], [], [], [], []
+            for text in batch.column(1):
                 s = shingle_set(text.as_py())
-                ids.append(doc)
                 n.append(len(s))
                 f1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 f2.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                if len(s):
-                    bands.append(band_keys(minima(s)).view(np.int64))
-                    bits.append(bit_signature(s))
-                else:
-                    bands.append([])
-                    bits.append([])
-            kind = pa.list_(pa.int64())
+                low = minima(s) if len(s) else None
+                bands.append(band_keys(low).view(np.int64) if len(s) else [])
+                marks.append(signature(s, low) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, kind), pa.array(bits, kind)],
-                ["doc_id", "n_shingles", "f1", "f2", "bands", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, kind), pa.array(marks, kind)],
+                ["doc_id", "n_shingles", "f1", "f2", "bands", "marks"],
             )
 
-    return heavy_map(docs, run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, bits array<bigint>")
-
-
-def close_enough(a: str, b: str):
-    """Column: the bit signatures of rows a and b allow a similarity of THRESHOLD or more."""
-    apart = sum((F.expr(f"bit_count({a}bits[{i}] ^ {b}bits[{i}])") for i in range(_LONGS)), F.lit(0))
-    both = F.col(f"{a}n_shingles") + F.col(f"{b}n_shingles")
-    smaller = F.least(f"{a}n_shingles", f"{b}n_shingles")
-    larger = F.greatest(f"{a}n_shingles", f"{b}n_shingles")
-    return (100 * smaller >= THRESHOLD * larger) & ((100 + THRESHOLD) * apart <= (100 - THRESHOLD) * both)
-
+    return heavy_map(docs, run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, marks array<bigint>")
+
+
+def alike_in_size(a: str, b: str):
+    """Column: the sizes of two sets allow a similarity of THRESHOLD or more."""
+    return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
+
+
+def close_enough():
+    """Column: the signatures of rows a and b allow a similarity of THRESHOLD or more."""
+    apart = lambda i: f"(a_marks[{i}] ^ b_marks[{i}])"
+    other = " + ".join(f"bit_count({' | '.join(apart(_PLANE * plane + i) for plane in range(8))})" for i in range(_PLANE))
+    missing = " + ".join(f"bit_count({apart(i)})" for i in range(8 * _PLANE, 8 * _PLANE + _BIT_LONGS))
+    return F.expr(f"{BANDS * ROWS} - ({other}) >= {AGREE} AND {100 + THRESHOLD} * ({missing}) <= {100 - THRESHOLD} * (a_n + b_n)")
+
+
+def allowed(rows: DataFrame) -> DataFrame:
+    """(a, a_n, b, b_n): queries of buckets and members of other components whose signatures allow a link.
+
+    rows: bucket, doc_id, n_shingles, component, marks, is_query; two queries meet once.
+    """
+    count = rows.groupBy("bucket").agg(F.ceil(F.count_if("is_query") / BLOCK).cast("int").alias("of_q"), F.ceil(F.count("*") / BLOCK).cast("int").alias("of_m")).where("of_q > 0")
+    held = rows.join(count, "bucket")
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = held.where("is_query").withColumn("q", place("of_q")).withColumn("m", every("of_m")).withColumn("asks", F.lit(True))
+    told = held.withColumn("m", place("of_m")).withColumn("q", every("of_q")).withColumn("asks", F.lit(False))
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "a_n", "b", "b_n")])
+
+    def side(block: pa.Table):
+        block = block.combine_chunks()
+        longs = block["marks"].combine_chunks().flatten().to_numpy().view(np.uint64)
+        return [block[c].to_numpy() for c in ("doc_id", "n_shingles", "component", "is_query")] + [np.ascontiguousarray(longs.reshape(block.num_rows, 8 * _PLANE + _BIT_LONGS).T)]
+
+    def run(block: pa.Table) -> pa.Table:
+        (ids, sizes, of, _, marks), (doc, size, component, is_query, other) = side(block.filter(block["asks"])), side(block.filter(pa.compute.invert(block["asks"])))
+        out = []
+        for i in range(len(ids)):
+            at = np.flatnonzero((component != of[i]) & (~is_query | (component > of[i])) & (100 * np.minimum(size, sizes[i]) >= THRESHOLD * np.maximum(size, sizes[i])))
+            for part in range(_PLANE):
+                differ = np.zeros(len(at), np.uint64)
+                for n in range(8):
+                    differ |= other[_PLANE * n + part, at] ^ marks[_PLANE * n + part, i]
+                unequal = np.bitwise_count(differ) + (unequal if part else 0)
+            at = at[unequal <= BANDS * ROWS - AGREE]
+            apart = np.zeros(len(at), np.int64)
+            for n in range(8 * _PLANE, 8 * _PLANE + _BIT_LONGS):
+                apart += np.bitwise_count(other[n, at] ^ marks[n, i])
+            at = at[(100 + THRESHOLD) * apart <= (100 - THRESHOLD) * (size[at] + sizes[i])]
+            out.append((np.full(len(at), ids[i]), np.full(len(at), sizes[i]), doc[at], size[at]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema) if out else schema.empty_table()
+
+    ship(rows.sparkSession)
+    return asks.unionByName(told).drop("of_q", "of_m").groupBy("bucket", "q", "m").applyInArrow(run, "a bigint, a_n bigint, b bigint, b_n bigint")
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, set (binary: sorted 64-bit hashes) for each row of (doc_id, text)."""
 
-    def run(batches):
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold, of pairs (a, a_n, b, b_n) with the sets' sizes.
+
+    Tasks are dealt by b.  A task gets the set of each of its b, and of each a that it meets once, so the set of an a with
+    many partners travels once for each task and not once for each pair.
+    """
+    size = pairs.agg(F.sum(F.col("a_n") + F.col("b_n"))).first()[0] or 0
+    tasks = max(1, -(-8 * size // TASK_BYTES))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(tasks)).alias("task"))
+    place = F.explode(F.array(F.struct(F.col("a").alias("doc_id"), "task", F.lit(0).alias("kind")), F.struct(F.col("b").alias("doc_id"), "task", F.lit(1).alias("kind"))))
+    need = cut(dealt.select(place.alias("x")).select("x.*").groupBy("doc_id").agg(F.collect_set(F.struct("task", "kind")).alias("places")))  # two for each task at most
+    rows = docs.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "doc_id")
+    of_sets = rows.select("doc_id", "text", "places")
+
+    def sets(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
+            found = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "places", "set"])
 
-    return heavy_map(docs, run, "doc_id bigint, set binary")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(sets_of(docs.join(need, "doc_id", "left_semi")))
-    both = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("a_set")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("b_set")), "b")
-        .select("a", "b", "a_set", "b_set")
-    )
+    made = heavy_map(of_sets, sets, "doc_id bigint, places array<struct<task:bigint,kind:int>>, set binary")
+    made = made.select(F.explode("places").alias("p"), "doc_id", "set").select("p.task", "p.kind", "doc_id", F.lit(None).cast("bigint").alias("a"), "set")
+    asked = dealt.select("task", F.lit(2).alias("kind"), F.col("b").alias("doc_id"), "a", F.lit(None).cast("binary").alias("set"))
+    both = made.unionByName(asked).repartition(tasks, "task").sortWithinPartitions("task", F.least("kind", F.lit(1)), "doc_id", "kind")
 
     def run(batches):
+        task, held, at, own = None, {}, None, []  # sets of each a; the b at hand and its sets
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= THRESHOLD * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for n, (t, kind, doc, other) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
+                if t != task:
+                    task, held, at, own = t, {}, None, []
+                if kind == 2:
+                    if any(similar(x, y) for x in held[other] for y in own):
+                        a.append(other)
+                        b.append(doc)
+                    continue
+                found = np.frombuffer(batch.column(4)[n].as_py(), np.uint64)
+                if kind == 0:
+                    held.setdefault(doc, []).append(found)
+                elif doc == at:
+                    own.append(found)
+                else:
+                    at, own = doc, [found]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return heavy_map(both, run, "a bigint, b bigint")
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= THRESHOLD * (len(x) + len(y) - common)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, by alternating large-star and small-star steps."""
+    """(node, component): the smallest node reachable, by alternating large-star and small-star steps.
+
+    The least neighbours of all nodes are written before they are joined, so a node with very many neighbours is a skewed
+    join that Spark divides, or a broadcast where they are few.
+    """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         # Large star: of each node's neighbours and itself the least; larger neighbours move to it.
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # Small star: neighbours not larger than the node, and the node itself, move to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = cut(small)
-        # Done when every edge leads to a root, i.e. no node has two parents or is a parent with a parent.
-        parents = after.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
-        roots = parents.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        if parents.where("n > 1").isEmpty() and roots.isEmpty():
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")))
+        small = large.join(low.where("m < most"), "u").select("v", "m").where("v <> m").union(low.select("u", "m"))
+        after = cut(small.toDF("u", "v").distinct())
+        # Done when every edge leads to a root: no node has two parents, or a parent that has one.
+        done = after.groupBy("u").count().where("count > 1").isEmpty() and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+        drop(edges, least, large, low)
+        if done:
             return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
         edges = after
 
@@ -161,51 +242,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = texts(docs, id_col, text_col)
     sigs = cut(signatures(docs))
     some = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    copies = cut(some.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep").distinct())
-    reps = sigs.join(copies.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-
-    rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    held = rows.join(full, "bucket")
-    degree = held.groupBy("doc_id").agg(F.sum("size").alias("degree"))
-    members = cut(reps.join(degree, "doc_id").select("doc_id", "n_shingles", "bits", "bands", "degree"))
-    inside = members.select("doc_id", "degree", F.explode("bands").alias("bucket")).join(full.select("bucket"), "bucket", "left_semi")
-    centres = cut(inside.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("neg"))).alias("m")).select("bucket", (-F.col("m.neg")).alias("centre")))
+    reps = cut(some.groupBy(*SET).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks")))
 
-    look = members.select("doc_id", "n_shingles", "bits")
+    rows = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    tops = cut(rows.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.min_by("n_shingles", "doc_id").alias("centre_n"), F.count("*").alias("size")).where("size > 1"))
+    held = cut(rows.join(tops, "bucket"))
 
     def screened(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) that the bit signatures allow."""
-        left = look.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("a_n_shingles"), F.col("bits").alias("a_bits"))
-        right = look.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("b_n_shingles"), F.col("bits").alias("b_bits"))
-        return pairs.join(left, "a").join(right, "b").where(close_enough("a_", "b_")).select("a", "b")
-
-    star = inside.join(centres, "bucket").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    links = cut(confirmed(cut(screened(star)), docs))
+        """Different pairs (a, a_n, b, b_n) that the signatures allow."""
+        side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("marks").alias(f"{x}_marks"), F.col("n_shingles").alias(f"{x}_n"))
+        return pairs.join(side("a"), ["a", "a_n"]).join(side("b"), ["b", "b_n"]).where(close_enough()).select("a", "a_n", "b", "b_n").distinct()
+
+    star = cut(held.where("doc_id <> centre").where(alike_in_size("n_shingles", "centre_n")).select(F.col("centre").alias("a"), F.col("centre_n").alias("a_n"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("b_n")).distinct())
+    near = cut(screened(star))
+    # Rows of one doc_id with different texts belong together.
+    several = some.groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("x"), F.max(F.struct(*SET)).alias("y")).where("x <> y").select("doc_id")
+    bound = some.join(several, "doc_id", "left_semi").select("doc_id", *SET).join(reps.select(*SET, F.col("doc_id").alias("b")), SET).select(F.col("doc_id").alias("a"), "b")
+    links = cut(confirmed(near, docs).union(bound))
     found = components(links)
-
-    # Buckets that hold more than one component: the rest of the members against those of other components.
-    labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    spread = labelled.select("doc_id", "component", F.explode("bands").alias("bucket")).join(full.select("bucket"), "bucket", "left_semi")
-    mixed = spread.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    home = centres.join(mixed, "bucket").join(found.select(F.col("node").alias("centre"), "component"), "centre", "left").select("bucket", F.coalesce("component", "centre").alias("home"))
-    open_ = cut(labelled.select("doc_id", "component", "n_shingles", "bits", F.explode("bands").alias("bucket")).join(home, "bucket"))
-    left = open_.where("component <> home").select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("a_n_shingles"), F.col("bits").alias("a_bits"))
-    right = open_.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("home"), F.col("n_shingles").alias("b_n_shingles"), F.col("bits").alias("b_bits"))
-    rest = (
-        left.join(right, (left["bucket"] == right["bucket"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("home")) | (F.col("a") < F.col("b"))) & close_enough("a_", "b_"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = cut(confirmed(cut(rest), docs))
+    drop(star, near, links)
+
+    # Buckets that hold more than one component: queries against members of other components, but for the centre.
+    label = held.where("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "size", "centre", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    label = cut(label)
+    broken = cut(label.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("component"))).alias("home")).where("c0 <> c1").select("bucket", "home"))
+    open_ = cut(label.join(broken, "bucket").where("doc_id <> centre").withColumn("is_query", F.col("component") != F.col("home")))
+    side = lambda x, rows: rows.select("bucket", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("component").alias(f"{x}_c"), F.col("is_query").alias(f"{x}_q"))
+    small = open_.where(F.col("size") <= MANY)
+    rest = side("a", small.where("is_query")).join(side("b", small), "bucket").where("a_c <> b_c AND (NOT b_q OR a_c < b_c)").where(alike_in_size("a_n", "b_n"))
+    rest = screened(rest.select("a", "a_n", "b", "b_n").distinct())
+    large = open_.where(F.col("size") > MANY)
+    if not large.isEmpty():
+        rest = rest.union(allowed(large.join(reps.select("doc_id", "n_shingles", "marks"), ["doc_id", "n_shingles"]).select("bucket", "doc_id", "n_shingles", "component", "is_query", "marks"))).distinct()
+    left = cut(rest)
+    more = cut(confirmed(left, docs))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    drop(tops, held, label, broken, open_, left, more)
 
-    by_rep = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    shown = sigs.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    out = shown.join(by_rep, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    of = reps.select(*SET, "copies", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*SET, "copies", F.col("doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component"))
+    of = cut(of.where("copies > 1 OR component <> rep").select(*SET, "component"))
+    out = sigs.select("doc_id", *SET).join(of, SET, "left").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component"))
+    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
