@@ -1,35 +1,46 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A token is a run of letters and digits (ASCII punctuation and white space separate tokens), lower-cased.  Each of the
-fixed ``MASKS`` is slid over a token sequence and hashes only the positions marked 1, so that a substituted token at
-an ignored position does not change the hash.  Hashes of the benchmark's windows are looked up for every window of
-every document; around a hit the two texts are aligned on that diagonal and extended both ways, a match scoring 1 and
-a substitution ``SUBSTITUTION``, to the best-scoring segment.  A segment counts as an overlap if it has ``LONG``
-matching tokens or ``COVER`` of the item's tokens, and at least ``IDENTITY`` of its tokens match.
-
-The benchmark is the query set.  It is taken in blocks of at most ``BLOCK_TOKENS`` tokens (one item may be larger), each
-sent to the executors and run against all documents in a pass without a shuffle; the blocks' results are united.
-
-Defined results: null or empty texts and items have no overlaps; items with fewer tokens than the shortest window are
-matched as a whole and exactly if they have ``SHORT`` tokens or more, and not at all below that; repeated rows give
-repeated results; ties between overlaps of one document and item go to the leftmost; empty tables give an empty
-result; other columns are not read.
+fixed masks is slid over a token sequence and hashes only the positions marked 1, so that a substituted token at
+an ignored position does not change the hash.  MASKS serve all items, LIGHT_MASKS those under LIGHT_TOKENS tokens too, and
+items shorter than a mask have masks of their own length, with one ignored position (two from eight tokens on) in every
+place, and shorter by as many positions with fewer ignored, for texts that begin or end inside the item.
+
+The hashes of the benchmark's windows are a table of seeds.  One pass over the documents keeps the windows whose hash is in a
+bit filter of the seeds (FILTER_BITS bits at most, whatever the benchmark's size; false positives only cost rows), and these are joined to the
+seeds by hash, so a hot seed is a skewed join that Spark divides.  A hit names a document, an item and a diagonal.  The words
+of the document along that diagonal are cut out and compared with the item's, word by word: the best-scoring segment, a match counting 1 and
+a substitution ``SUBSTITUTION``, and the item as a whole.  A segment is an overlap if it has ``LONG`` matching tokens or
+``COVER`` of the item's, and at least ``IDENTITY`` of its tokens match; the whole is one if ``IDENTITY`` of the item's
+tokens match.
+
+Nothing of the documents reaches the driver, and of the benchmark only the bit filter.
+
+Defined results: null or empty texts and items have no overlaps; items with fewer than ``SHORT`` tokens are not searched;
+a null doc_id or item_id stays null in the result; items with one id and different texts are items of their own; repeated
+documents give repeated results, repeated items one; ties between overlaps of one document and item go to the leftmost; empty
+tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedweave.llm.common import MASK64, heavy_map, mix, span_hashes, table, text_blocks, texts
+from feedweave.llm.common import MASK64, cut, drop, heavy_map, mix, span_hashes, table, text_blocks, texts
 
 #: Positions that count (1) and that are ignored (0).
 MASKS = ("1110110111", "1101011011", "11110011011", "1011101111")
+LIGHT_MASKS, LIGHT_TOKENS = ("1101011", "1110011", "1011101"), 30
 SUBSTITUTION = -2
 LONG, COVER, IDENTITY, SHORT = 13, 0.8, 0.75, 5
-BLOCK_TOKENS = 500_000
-_FILTER_BITS = 22
+#: Bits of the seed filter: this many for each seed, and at most.
+BITS_A_SEED, FILTER_BITS = 32, 29
+#: Documents named in a broadcast at most.
+BROADCAST_ROWS = 200_000
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -64,120 +75,168 @@ def hash_of_mask(mask: str) -> int:
     return int(mask, 2) * 0xD6E8FEB86659FD93 + len(mask) & MASK64
 
 
-class Seeds:
-    """The windows of a block of benchmark items: sorted hashes, and a bit filter in front of them."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words = [], []
-        known: dict[bytes, None] = {}
-        hashes, owner, place = [], [], []
-        self.masks = list(MASKS)
-        for item, text in items:
-            words = token_hashes(text or "")
-            if len(words) < SHORT or (item, words.tobytes()) in known:
-                continue
-            known[item, words.tobytes()] = None
-            n = len(self.ids)
-            self.ids.append(item)
-            self.words.append(words)
-            fitting = [m for m in MASKS if len(m) <= len(words)]
-            if not fitting:
-                fitting = ["1" * len(words)]
-                if fitting[0] not in self.masks:
-                    self.masks.append(fitting[0])
-            for mask in fitting:
-                h = seed_hashes(words, mask)
-                hashes.append(h)
-                owner.append(np.full(len(h), n))
-                place.append(np.arange(len(h)))
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-        h = join(hashes, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.owner, self.place = h[order], join(owner, np.int64)[order], join(place, np.int64)[order]
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.hash >> np.uint64(64 - _FILTER_BITS)] = True
-
-    def hits(self, words: np.ndarray):
-        """(place in words, mask length, item, place in item) of every equal seed hash."""
-        for mask in self.masks:
-            h = seed_hashes(words, mask)
-            at = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)]) if len(h) else ()
-            if not len(at):
-                continue
-            lo = np.searchsorted(self.hash, h[at], "left")
-            hi = np.searchsorted(self.hash, h[at], "right")
-            for i, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                for j in range(a, b):
-                    yield int(i), len(mask), int(self.owner[j]), int(self.place[j])
-
-
-def best_segment(equal: np.ndarray, at: int, size: int) -> tuple[int, int]:
-    """The best-scoring segment that holds equal[at:at + size]."""
-    score = np.where(equal, 1, SUBSTITUTION)
-    right = np.cumsum(score[at + size :])
-    left = np.cumsum(score[:at][::-1])
-    end = at + size + (int(right.argmax()) + 1 if len(right) and right.max() > 0 else 0)
-    start = at - (int(left.argmax()) + 1 if len(left) and left.max() > 0 else 0)
-    return start, end
-
-
-def overlaps(words: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int, int]]:
-    """(item number, first token, tokens, matching tokens, first token in the item) of a document; the best for each item."""
-    best: dict[int, tuple] = {}
-    seen: dict[tuple[int, int], int] = {}
-    for at, size, owner, place in sorted(seeds.hits(words)):
-        diagonal = at - place
-        if seen.get((owner, diagonal), -1) >= at + size:
-            continue
-        item = seeds.words[owner]
-        first = max(0, diagonal)
-        last = min(len(words), diagonal + len(item))
-        equal = words[first:last] == item[first - diagonal : last - diagonal]
-        start, end = best_segment(equal, at - first, size)
-        seen[owner, diagonal] = first + end
-        matched = int(equal[start:end].sum())
-        if (matched >= LONG or matched >= COVER * len(item)) and matched >= IDENTITY * (end - start):
-            found = (matched, -(first + start), end - start, first + start - diagonal)
-            if owner not in best or found[:2] > best[owner][:2]:
-                best[owner] = found
-    return [(owner, -neg, size, matched, place) for owner, (matched, neg, size, place) in sorted(best.items())]
-
-
-def _scan(docs: DataFrame, seeds: Seeds) -> DataFrame:
+def masks_of(size: int) -> list[str]:
+    """The masks of an item of so many tokens."""
+    if size >= len(MASKS[0]):
+        return [m for m in (*MASKS, *(LIGHT_MASKS if size < LIGHT_TOKENS else ())) if len(m) <= size]
+    ignored = 2 if size >= 8 else 1 if size >= SHORT else -1
+    sizes = [(size - cut_off, ignored - cut_off) for cut_off in range(ignored + 1)]
+    return ["".join("0" if i in at else "1" for i in range(n)) for n, k in sizes for at in itertools.combinations(range(n), k)]
+
+
+def items_of(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """item (a key), item_id, words (hashes of the tokens) of the different items that are searched."""
+
     def run(batches):
         for batch in batches:
-            out = []
+            words = [token_hashes(t.as_py()).view(np.int64) for t in batch.column(2)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64()))], ["item", "item_id", "words"])
+            yield out.filter(pa.array([len(w) >= SHORT for w in words], pa.bool_()))
+
+    rows = texts(benchmark, item_col, item_text).distinct()
+    keyed = rows.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").alias("item"), F.col("doc_id").alias("item_id"), "text")
+    return heavy_map(keyed, run, "item bigint, item_id bigint, words array<bigint>")
+
+
+def seeds_of(items: DataFrame) -> DataFrame:
+    """hash, item, place of every window of every item under every mask of its."""
+
+    def run(batches):
+        for batch in batches:
+            found: list[tuple] = []
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = np.array(words.as_py(), np.int64).view(np.uint64)
+                for mask in masks_of(len(words)):
+                    h = seed_hashes(words, mask)
+                    found.append((h.view(np.int64), np.full(len(h), item, np.int64), np.arange(len(h))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["hash", "item", "place"])
+
+    return heavy_map(items.select("item", "words"), run, "hash bigint, item bigint, place bigint").distinct()
+
+
+class Filter:
+    """Which hashes may be seeds: one bit for each value of their first bits."""
+
+    def __init__(self, seeds: DataFrame):
+        self.bits = min(FILTER_BITS, max(16, (BITS_A_SEED * seeds.count()).bit_length()))
+        at = seeds.select(F.shiftrightunsigned("hash", 64 - self.bits).alias("at"))
+        found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+        rows = found.toArrow()  # 2 ** (FILTER_BITS - 6) rows at most
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def hits(docs: DataFrame, known: Filter, masks: list[str]) -> DataFrame:
+    """doc (a key), hash, at: the windows of (doc, text) whose hashes pass the filter."""
+    spread = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        passes = spread.value
+        for batch in batches:
+            docs_, hashes, ats = [], [], []
             for ids, run_ in text_blocks(batch):
                 data = [t.lower().encode("utf-8", "surrogatepass") for t in run_]
                 joined = np.frombuffer(b"\n".join(data), np.uint8)
                 starts, ends = tokens(joined)
                 words = span_hashes(joined, starts, ends)
                 edges = np.searchsorted(starts, np.cumsum([0] + [len(d) + 1 for d in data]))
-                touched = {int(np.searchsorted(edges, at, "right")) - 1 for at, *_ in seeds.hits(words)}
-                for d in sorted(touched):
-                    for owner, start, size, matched, place in overlaps(words[edges[d] : edges[d + 1]], seeds):
-                        out.append((ids[d], seeds.ids[owner], start, size, matched, len(seeds.words[owner]), place))
+                keys = np.array(ids, np.int64)
+                for mask in masks:
+                    h = seed_hashes(words, mask)
+                    at = np.flatnonzero(passes.holds(h)) if len(h) else np.empty(0, np.int64)
+                    doc = np.searchsorted(edges, at, "right") - 1
+                    whole = at + len(mask) <= edges[doc + 1] if len(at) else np.empty(0, bool)  # not across two documents
+                    at, doc = at[whole], doc[whole]
+                    docs_.append(keys[doc])
+                    hashes.append(h[at].view(np.int64))
+                    ats.append(at - edges[doc])
+            if docs_:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs_, hashes, ats)], ["doc", "hash", "at"])
+
+    return heavy_map(docs, run, "doc bigint, hash bigint, at bigint")
+
+
+def best_segment(equal: np.ndarray) -> tuple[int, int]:
+    """Start and end of the segment with the highest score; the leftmost and longest of equals."""
+    sums = np.r_[0, np.cumsum(np.where(equal, 1, SUBSTITUTION))]
+    low = np.minimum.accumulate(sums)
+    end = int((sums - low).argmax())
+    return int(np.flatnonzero(sums[: end + 1] == low[end])[0]), end
+
+
+def overlap(words: np.ndarray, first: int, item: np.ndarray) -> tuple[int, int, int] | None:
+    """(first, tokens, matching) in item positions, of words aligned with item[first:]; None if they do not overlap enough."""
+    equal = words == item[first : first + len(words)]
+    found = None
+    start, end = best_segment(equal)
+    matched = int(equal[start:end].sum())
+    if (matched >= LONG or matched >= COVER * len(item)) and matched >= IDENTITY * (end - start) and matched:
+        found = start, end - start, matched
+    if int(equal.sum()) >= IDENTITY * len(item) and (found is None or int(equal.sum()) > found[2]):
+        at = np.flatnonzero(equal)
+        found = int(at[0]), int(at[-1] - at[0] + 1), int(equal.sum())
+    return found and (first + found[0], found[1], found[2])
+
+
+def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, item, diagonal, words: what the documents (doc, text) have along the diagonals of wanted (doc, ask)."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, text, ask in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = token_hashes(text.as_py()).view(np.int64)
+                out += [(doc, x["item"], x["diagonal"], words[max(0, x["diagonal"]) : max(0, x["diagonal"] + x["size"])]) for x in ask]
+            if out:
+                a, b, c, d = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["doc", "item", "diagonal", "words"])
+
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.dropDuplicates(["doc"]) if not few else docs
+    return heavy_map(rows.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", "text", "ask"), run, "doc bigint, item bigint, diagonal bigint, words array<bigint>").distinct()
+
+
+def verified(rows: DataFrame) -> DataFrame:
+    """doc, item_id, doc_token, n_tokens, n_matched, item_tokens, item_token of (doc, item_id, diagonal, words, item_words)."""
+    names = ["doc", "item", "item_id", "doc_token", "n_tokens", "n_matched", "item_tokens", "item_token"]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, item, item_id, diagonal, words, own in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                found = overlap(np.array(words, np.int64), max(0, -diagonal), np.array(own, np.int64))
+                if found:
+                    out.append((doc, item, item_id, diagonal + found[0], found[1], found[2], len(own), found[0]))
             if out:
-                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "doc_token", "n_tokens", "n_matched", "item_tokens", "item_token"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
-    return heavy_map(docs, run, "doc_id bigint, item_id bigint, doc_token bigint, n_tokens bigint, n_matched bigint, item_tokens bigint, item_token bigint")
+    return heavy_map(rows.select("doc", "item", "item_id", "diagonal", "words", "item_words"), run, ", ".join(f"{n} bigint" for n in names))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item that overlap: where, how many tokens, how many of them match."""
-    docs = texts(docs, id_col, text_col)
-    items = texts(benchmark, item_col, item_text)
-    total = items.select(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
-    blocks = -(-total // BLOCK_TOKENS)
-    parts = []
-    for b in range(max(1, blocks)):
-        block = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, blocks))) == b)
-        parts.append(_scan(docs, Seeds(sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in block.collect()))))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.union(more)
-    return out
+    keyed = texts(docs, id_col, text_col).select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").alias("doc"), "doc_id", "text")
+    items = cut(items_of(benchmark, item_col, item_text))
+    seeds = cut(seeds_of(items))
+    sizes = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(LIGHT_TOKENS)).alias("n")).distinct().collect()]  # LIGHT_TOKENS at most
+    masks = sorted({m for n in sizes for m in masks_of(n)})
+    found = hits(keyed.select("doc", "text"), Filter(seeds), masks)
+    diagonals = found.join(seeds, "hash").select("doc", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    asked = diagonals.join(items.select("item", F.size("words").cast("bigint").alias("size")), "item")
+    wanted = cut(asked.groupBy("doc").agg(F.collect_list(F.struct("item", "diagonal", "size")).alias("ask")))
+    cuts = windows(keyed.select("doc", "text"), wanted)
+    checked = verified(cuts.join(items.withColumnRenamed("words", "item_words"), "item"))
+    rank = F.struct("n_matched", (-F.col("doc_token")).alias("left"), "n_tokens", "item_token", "item_tokens", "item_id")
+    best = cut(checked.groupBy("doc", "item").agg(F.max(rank).alias("x")).select("doc", "x.*"))
+    drop(seeds, wanted)
+    few = best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = keyed.select("doc", "doc_id").join(F.broadcast(best) if few else best, "doc")
+    return out.select("doc_id", "item_id", (-F.col("left")).alias("doc_token"), "n_tokens", "n_matched", "item_tokens", "item_token")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
