@@ -12,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedweave.functions.text import Replacement, TitleRules, _python_slug
+from feedweave.functions.text import Replacement, TitleRules, slug_of
 
 # Scoring defaults and the vocabulary of titles.
 STOPWORDS = tuple("the a an and of with from for to in on at by episode part listener tales podcast mini special guest guests bonus volume vol".split())
@@ -73,7 +73,7 @@ class Show:
     slug: str = field(default="", init=False)
 
     def __post_init__(self):
-        object.__setattr__(self, "slug", _python_slug(self.name)[:100])
+        object.__setattr__(self, "slug", slug_of(self.name))
         if not self.path:
             object.__setattr__(self, "path", f"/media/podcasts/{self.slug}")
         for source in (*self.references, *self.downloads):

@@ -70,6 +70,11 @@ def date_similarity(a: str, b: str, d: Dialect = SPARK, tiers=DATE_TIERS, trunca
     return f"case when {a} is null or {b} is null then 0.0 " + " ".join(f"when {days} <= {n} then {s!r}" for n, s in tiers) + " else 0.0 end"
 
 
+def epoch_seconds(x: str, d: Dialect = SPARK) -> str:
+    """Whole seconds since 1970, the fraction cut off towards zero; a time without a zone is UTC."""
+    return f"cast({_micros(x, d)} / 1000000 as bigint)" if d.spark else f"trunc({_micros(x, d)} / 1000000.0)::BIGINT"
+
+
 def _micros(x: str, d: Dialect) -> str:
     return f"unix_micros(cast({x} as timestamp))" if d.spark else f"epoch_us({x})"
 

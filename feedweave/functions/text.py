@@ -6,6 +6,7 @@ the comparison with another engine; ``Dialect`` holds the few places where engin
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -51,18 +52,30 @@ NUMBERS = {
 }
 ROMAN = {"IV": "4", "VIII": "8", "VII": "7", "VI": "6", "V": "5", "IX": "9", "X": "10", "III": "3", "II": "2", "I": "1"}
 SLUG_CHARS = 100
-
-#: Characters that become several letters, and Cyrillic; other Latin letters are decomposed by rule.
+# What a slug does to transliterated text in lower case, in order.
+SLUG_STEPS = (
+    (r"([a-z]+)_s\b", r"\1's"),
+    (r"\b([a-z]+)'([a-z]{1,2})\b", r"\1\2"),
+    (r"[ _]", "-"),
+    (r"[^a-z0-9-]", ""),
+    (r"-+", "-"),
+)
+EXTENSION = r"\.[a-z34]+$"
+
+#: Characters that become several letters, Cyrillic and Greek; other Latin letters are decomposed by rule.
 SPELT = {
     "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ĳ": "ij", "Ĳ": "IJ", "…": "...", "«": "<<", "»": ">>",
     "©": "(c)", "®": "(r)", "™": "(tm)", "€": "EUR", "½": " 1/2", "¼": " 1/4", "¾": " 3/4", "№": "No",
     "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ё": "io",
     "Ж": "Zh", "Х": "Kh", "Ц": "Ts", "Ч": "Ch", "Ш": "Sh", "Щ": "Shch", "Ю": "Iu", "Я": "Ia", "Ё": "Io",
+    "θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps", "Θ": "Th", "Φ": "Ph", "Χ": "Kh", "Ψ": "Ps",
 }
 SINGLE = {
     "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "–": "-", "—": "-", "‐": "-",
     "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": '"', "•": "*", "×": "x", "·": "*", "¿": "?", "¡": "!", " ": " ", " ": " ", "　": " ",
     **dict(zip("абвгдезийклмнопрстуфыэАБВГДЕЗИЙКЛМНОПРСТУФЫЭ", "abvgdeziiklmnoprstufyeABVGDEZIIKLMNOPRSTUFYE", strict=True)),
+    **dict(zip("αβγδεζηικλμνξοπρσςτυωΑΒΓΔΕΖΗΙΚΛΜΝΞΟΠΡΣΤΥΩ", "abgdezeiklmnxoprsstuoABGDEZEIKLMNXOPRSTUO", strict=True)),
+    **dict(zip("άέήίόύώϊϋΆΈΉΊΌΎΏ", "aeeiouoiuAEEIOUO", strict=True)),
     "ь": "'", "ъ": '"', "Ь": "'", "Ъ": '"',
 }
 
@@ -82,7 +95,7 @@ _TABLE = {**_decomposed(), **SINGLE}
 
 
 def transliterate(x: str, d: Dialect = SPARK) -> str:
-    """Latin and Cyrillic letters to ASCII; what has no counterpart (CJK, symbols) is dropped."""
+    """Latin, Cyrillic and Greek letters to ASCII; what has no counterpart (CJK, symbols) is dropped."""
     for old, new in SPELT.items():
         x = f"replace({x}, {d.text(old)}, {d.text(new)})"
     x = f"translate({x}, {d.text(''.join(_TABLE))}, {d.text(''.join(_TABLE.values()))})"
@@ -100,13 +113,22 @@ def remove_control_chars(x: str, d: Dialect = SPARK) -> str:
 
 def create_slug(x: str, d: Dialect = SPARK) -> str:
     x = f"lower({transliterate(remove_file_extension(x, d), d)})"
-    x = d.sub(x, r"([a-z]+)_s\b", r"\1's")
-    x = d.sub(x, r"\b([a-z]+)'([a-z]{1,2})\b", r"\1\2")
-    x = f"translate({x}, ' _', '--')"
-    x = d.sub(d.sub(x, "[^a-z0-9-]"), "-+", "-")
+    for pattern, new in SLUG_STEPS:
+        x = d.sub(x, pattern, new)
     return f"substring(trim(BOTH '-' FROM {x}), 1, {SLUG_CHARS})" if d.spark else f"substring(trim({x}, '-'), 1, {SLUG_CHARS})"
 
 
+def slug_of(name: str) -> str:
+    """The slug of a name of the configuration: what create_slug() does to a column."""
+    x = re.sub(EXTENSION, "", name, flags=re.I)
+    for old, new in SPELT.items():
+        x = x.replace(old, new)
+    x = re.sub(r"[^\x00-\x7F]+", "", x.translate(str.maketrans(_TABLE))).lower()
+    for pattern, new in SLUG_STEPS:
+        x = re.sub(pattern, new, x)
+    return x.strip("-")[:SLUG_CHARS]
+
+
 def is_slug(x: str, d: Dialect = SPARK) -> str:
     return d.test(x, r"(?d)^[a-z0-9]+(-[a-z0-9]+)*$" if d.spark else r"^[a-z0-9]+(-[a-z0-9]+)*\n?$")
 
@@ -188,14 +210,10 @@ def apply_slug_rules(slug: str, rules: TitleRules, d: Dialect = SPARK) -> str:
         if r.target == "slug":
             slug = d.sub(slug, ("(?d)" if d.spark else "") + r.pattern, r.replacement)
     for suffix in rules.slug_suffixes:
-        slug = d.sub(slug, f"-{_python_slug(suffix)}$")
+        slug = d.sub(slug, f"-{slug_of(suffix)}$")
     return f"trim(BOTH '-' FROM {slug})" if d.spark else f"trim({slug}, '-')"
 
 
-def _python_slug(text: str) -> str:
-    return "-".join("".join(c if c.isalnum() else " " if c in " _-" else "" for c in text.lower()).split())
-
-
 def normalize_title(x: str, rules: TitleRules = TitleRules(), d: Dialect = SPARK) -> str:
     return apply_slug_rules(create_slug(apply_title_rules(remove_control_chars(x, d), rules, d), d), rules, d)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import functools
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedweave.config import SourceFilter
@@ -13,6 +15,7 @@ from feedweave.functions.scalars import AUDIO
 
 _DAYS = {"MO": 2, "TU": 3, "WE": 4, "TH": 5, "FR": 6, "SA": 7, "SU": 1}
 _FREQ = ("YEARLY", "MONTHLY", "WEEKLY", "DAILY")
+_PARTS = {"FREQ", "INTERVAL", "BYDAY", "BYMONTHDAY", "BYMONTH", "UNTIL", "COUNT", "WKST"}
 
 
 def title_pattern(f: SourceFilter) -> str | None:
@@ -37,7 +40,8 @@ def title_filter(df: DataFrame, f: SourceFilter, title: str = "title") -> DataFr
 
 @dataclass(frozen=True)
 class Rule:
-    """A recurrence rule: frequency, interval, days of the week, of the month, months, start, end."""
+    """A recurrence rule whose parts column expressions can express: frequency, interval, days of the week (without a number),
+    of the month, months, start, end.  Others are left to the calendar library, see on_schedule()."""
 
     freq: str
     interval: int = 1
@@ -50,7 +54,7 @@ class Rule:
 
     @classmethod
     def parse(cls, text: str) -> Rule | None:
-        """None for a malformed rule."""
+        """None for a malformed rule, and for one with other parts."""
         try:
             fields: dict[str, str] = {}
             start = None
@@ -60,7 +64,9 @@ class Rule:
                 elif line.strip():
                     k, v = line.split("=")
                     fields[k.strip().upper()] = v.strip().upper()
-            if fields["FREQ"] not in _FREQ:
+            if fields["FREQ"] not in _FREQ or set(fields) - _PARTS or any(c.isdigit() for c in fields.get("BYDAY", "")):
+                return None
+            if fields.get("WKST", "MO") != "MO":
                 return None
             byday = tuple(d.strip()[-2:] for d in fields.get("BYDAY", "").split(",") if d)
             if any(d not in _DAYS for d in byday):
@@ -141,13 +147,51 @@ class Rule:
         return (day.year - self.start.year) % self.interval == 0 and (bool(self.byday or self.bymonthday) or (day.month in (self.bymonth or (self.start.month,)) and day.day == self.start.day))
 
 
+@functools.lru_cache(1024)
+def _started(text: str):
+    """The rule of a text with DTSTART; it remembers its occurrences."""
+    from dateutil.rrule import rrulestr
+
+    return rrulestr(text, cache=True)
+
+
+@functools.lru_cache(1 << 16)
+def occurs(text: str, day: dt.date) -> bool:
+    """The rule has an occurrence on the day; without DTSTART it starts on that day.  A malformed rule has none."""
+    from dateutil.rrule import rrulestr
+
+    start = dt.datetime.combine(day, dt.time())
+    try:
+        rule = _started(text) if "DTSTART" in text.upper() else rrulestr(text, dtstart=start)
+        first = getattr(rule, "_dtstart", None)
+        if first is not None and first.tzinfo is not None:
+            start = start.replace(tzinfo=first.tzinfo)
+        found = rule.after(start - dt.timedelta(microseconds=1), inc=True)
+        return found is not None and found < (start + dt.timedelta(days=1)).replace(tzinfo=found.tzinfo)
+    except (TypeError, ValueError):
+        return False
+
+
 def on_schedule(day: Column, rules: list[str]) -> Column:
-    """Any of the rules has an occurrence on the day; a malformed rule has none."""
-    out = F.lit(False)
+    """Any of the rules has an occurrence on the day; a malformed rule has none.
+
+    Rules of plain parts are column expressions.  Numbered weekdays, positions, days and weeks of the year, other starts of the
+    week, hours and smaller units go to the calendar library, day by day (each day once in a worker).
+    """
+    out, rest = F.lit(False), []
     for text in rules:
         rule = Rule.parse(text)
-        if rule is not None:
+        if rule is None:
+            rest.append(text)
+        else:
             out = out | rule.holds(day)
+    if rest:
+
+        @F.pandas_udf("boolean")
+        def hit(days: pd.Series) -> pd.Series:
+            return days.map(lambda d: d is not None and any(occurs(text, d) for text in rest)).astype(bool)
+
+        out = out | hit(day.cast("date"))
     return out
 
 
@@ -156,15 +200,11 @@ def date_filter(df: DataFrame, rules: list[str], date: str = "pub_date") -> Data
     return df.where(F.col(date).isNotNull() & on_schedule(F.col(date), rules)) if rules else df
 
 
-def due(shows: DataFrame, today: dt.date, schedules: dict[str, list[str]]) -> DataFrame:
-    """Shows without a schedule, and those with an occurrence today."""
-    names = [n for n, rules in schedules.items() if rules and not any((r := Rule.parse(t)) and _today(r, today) for t in rules)]
-    return shows.where(~F.col("name").isin(names)) if names else shows
-
-
-def _today(rule: Rule, today: dt.date) -> bool:
-    rule = rule if rule.start else Rule(rule.freq, 1, rule.byday, rule.bymonthday, rule.bymonth, today, rule.until)
-    return today >= rule.start and rule._on(today)
+def due(shows: DataFrame, today: dt.date, schedule: str = "schedule") -> DataFrame:
+    """Shows without a schedule (an array of rules), and those with an occurrence today."""
+    rules = [r[0] for r in shows.select(F.explode(schedule)).distinct().collect()]  # the rules of the configuration
+    hits = F.array(*[F.lit(r) for r in rules if occurs(r, today)]).cast("array<string>")
+    return shows.where((F.size(F.coalesce(F.col(schedule), F.array().cast("array<string>"))) == 0) | F.arrays_overlap(schedule, hits))
 
 
 def has_tag(name: Column, slug: Column, tags: Column, wanted: list[str]) -> Column:
@@ -224,4 +264,4 @@ def enrich(episodes: DataFrame, info: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["Rule", "date_filter", "due", "enrich", "first_enclosure", "first_filled", "first_value", "fresh", "has_tag", "on_schedule", "public", "quarantine", "title_filter", "title_pattern"]
+__all__ = ["Rule", "date_filter", "due", "enrich", "first_enclosure", "first_filled", "first_value", "fresh", "has_tag", "occurs", "on_schedule", "public", "quarantine", "title_filter", "title_pattern"]

@@ -93,10 +93,15 @@ def quality(rows: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def median_p95(rows: DataFrame, label: str, value: str) -> DataFrame:
-    """Median, and the element max(0, int(0.95 n) - 1) of the sorted values."""
-    xs = F.array_sort(F.collect_list(value))
-    out = rows.groupBy(label).agg(F.percentile(value, 0.5).alias("median"), xs.alias("xs"))
-    return out.select(label, "median", F.get("xs", F.greatest(F.lit(0), F.floor(0.95 * F.size("xs")).cast("int") - 1)).alias("p95"))
+    """Median, and the element max(0, int(0.95 n) - 1) of the sorted values; ranks come from counts of equal values, no list is gathered."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(label, value).agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(label).orderBy(value)))
+    sizes = counts.groupBy(label).agg(F.sum("n").alias("size"))
+    want = upto.join(sizes, label)
+    at = F.greatest(F.lit(0), F.floor(0.95 * F.col("size")).cast("bigint") - 1) + 1
+    nth = lambda k: F.min(F.when(F.col("upto") >= k, F.col(value)))
+    low, high = nth(F.floor((F.col("size") + 1) / 2)), nth(F.floor(F.col("size") / 2) + 1)
+    return want.groupBy(label).agg(((low + high) / 2).alias("median"), nth(at).alias("p95"))
 
 
 def header(sources: DataFrame, fields: list[str], order: str = "source_ord") -> DataFrame:
@@ -105,5 +110,11 @@ def header(sources: DataFrame, fields: list[str], order: str = "source_ord") ->
     return sources.groupBy("show").agg(*pick).withColumn("title", F.col("show"))
 
 
+def stage_ok(errors: DataFrame, shows: DataFrame) -> DataFrame:
+    """show, ok: no error of the show (show, fatal) is fatal; shows without errors are fine."""
+    found = errors.groupBy("show").agg(F.bool_or("fatal").alias("fatal"))
+    return shows.select("show").distinct().join(found, "show", "left").select("show", (~F.coalesce("fatal", F.lit(False))).alias("ok"))
+
+
 def slugs(df: DataFrame, title: str = "title") -> DataFrame:
     return df.withColumn("slug", F.expr(text.create_slug(title)))

@@ -107,9 +107,14 @@ def sponsor_key(video_id: str) -> Column:
     return F.substring(F.sha2(F.col(video_id).cast("binary"), 256), 1, 24)
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """bucket, prefix, name, stem, etag of the files under a folder, without reading them."""
+def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """bucket, prefix, name, stem, etag of the files under a folder, without reading them; recursive=False: those directly in it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    if not recursive:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+        plain = lambda x: F.regexp_replace(x, "^([a-z0-9]+:)/+", "$1/")
+        files = files.where(F.substring_index(plain(F.col("path")), "/", -1) == F.replace(plain(F.col("path")), F.concat(plain(F.lit(base)), F.lit("/")), F.lit("")))
     parts = F.split(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "/")
     return files.select(
         F.element_at(parts, 2).alias("bucket"), F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 3, F.lit(0))), "/").alias("prefix"), F.element_at(parts, -1).alias("name"),
@@ -117,6 +122,11 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("stem", F.expr(scalars.stem("name")))
 
 
+def by_stem(objects: DataFrame, key: tuple[str, ...] = ("bucket", "prefix"), order: str = "name") -> DataFrame:
+    """One object for each name without extension: of several the last in order of listing."""
+    return objects.groupBy(*key, "stem").agg(F.max_by(F.struct("name", "etag"), F.col(order)).alias("o")).select(*key, "stem", "o.name", "o.etag")
+
+
 def object_metadata(raw: DataFrame, column: str = "metadata") -> DataFrame:
     """Typed metadata of a map column; all null where any field is missing or malformed."""
     m = F.col(column)
@@ -177,3 +187,15 @@ def standard_registry() -> Registry:
 def unexpired(df: DataFrame, now: Column, expires: str = "expires_at") -> DataFrame:
     """Cached rows that still hold."""
     return df.where(F.col(expires).isNull() | (F.col(expires) > now))
+
+
+def latest(versions: DataFrame, key: str = "url", at: str = "fetched_at", status: str = "status") -> DataFrame:
+    """The body that holds of each landed response: the newest that came with one; an answer "not modified" (304) renews its date."""
+    body = versions.where(F.col(status) != 304).groupBy(key).agg(F.max_by(F.struct(*versions.columns), F.col(at)).alias("v"), F.max(at).alias("body_at"))
+    seen = versions.groupBy(key).agg(F.max(at).alias("checked_at"))
+    return body.join(seen, key).select("v.*", "checked_at")
+
+
+def new_ids(bundle: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of a listing that the cached bundle lacks, in the order they came: what an incremental fetch asks for."""
+    return bundle.join(known.select(key).distinct(), key, "left_anti")

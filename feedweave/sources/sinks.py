@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import dataclasses
+import datetime as dt
+import json
+import time
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from feedweave.config import Show
 from feedweave.functions import text
 
 EPISODE_FIELDS = ("id", "title", "description", "source", "thumbnail", "upload_date")
@@ -30,6 +36,57 @@ def bundles(episodes: DataFrame, folder: str) -> None:
     rows.repartition("slug").write.partitionBy("slug").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(folder)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, through the file system that the path names."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def series(spark: SparkSession, shows: list[Show], reports: DataFrame, folder: str, generated_at: str | None = None) -> None:
+    """The bundle of a run: <slug>/config.json, <slug>/feeds/combined.json, index.json and report.json.
+
+    reports: rows of report(); one show at a time comes to the driver.  Shows without rows have an empty combined.json.
+    """
+    folder = folder.rstrip("/")
+    known = {s.name: s for s in shows}
+    entries, texts = [], []
+    done = set()
+
+    def put(show: Show, row: dict) -> None:
+        write_text(spark, f"{folder}/{show.slug}/config.json", json.dumps(dataclasses.asdict(show), indent=2) + "\n")
+        write_text(spark, f"{folder}/{show.slug}/feeds/combined.json", json.dumps(row, indent=2) + "\n")
+        entries.append({"name": show.name, "slug": show.slug, "directory": show.slug, "config": f"{show.slug}/config.json", "feeds": {"combined": f"{show.slug}/feeds/combined.json"}})
+        texts.append({k: v for k, v in row.items() if k != "episodes"})
+
+    for row in reports.orderBy("show").toLocalIterator():
+        if row["show"] in known:
+            done.add(row["show"])
+            put(known[row["show"]], {**row.asDict(recursive=True), "episodes": json.loads(row["episodes"] or "[]")})
+    for show in shows:
+        if show.name not in done:
+            put(show, {"show": show.name, "merged_count": 0, "episodes": []})
+    write_text(spark, f"{folder}/report.json", json.dumps(texts, indent=2, default=str) + "\n")
+    at = generated_at or dt.datetime.now(dt.timezone.utc).isoformat()
+    write_text(spark, f"{folder}/index.json", json.dumps({"generated_at": at, "series": entries}, indent=2) + "\n")
+
+
+def put_cached(df: DataFrame, path: str, attempts: int = 3, delay: float = 0.05) -> None:
+    """Write a cached table; a commit that collides with another writer is tried again."""
+    for n in range(attempts):
+        try:
+            df.write.mode("overwrite").parquet(path)
+            return
+        except Exception:
+            if n == attempts - 1:
+                raise
+            time.sleep(delay)
+
+
 def unmatched_report(refs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Shows with references that no pair has, and these; other shows are left out."""
     rest = refs.join(pairs.select("show", F.col("ref_idx").alias("idx")), ["show", "idx"], "left_anti")
@@ -85,8 +142,21 @@ def deletions(rows: DataFrame) -> DataFrame:
     return rows.where("object_name IS NOT NULL").select("show", "object_name", F.lit("delete").alias("action"), F.lit(True).alias("dry_run"))
 
 
+def uploads(rows: DataFrame) -> DataFrame:
+    """Objects that would be uploaded (bucket, key, path, metadata), as a table of actions: type by name, public, in parts of 8 MiB by 4."""
+    return rows.select(
+        "bucket", "key", "path", mime(F.col("key")).alias("content_type"), F.lit("public-read").alias("acl"), F.transform_values("metadata", lambda k, v: F.coalesce(v.cast("string"), F.lit(""))).alias("metadata"),
+        F.lit(8 << 20).alias("part_bytes"), F.lit(4).alias("threads"), F.lit("upload").alias("action"),
+    )
+
+
+def invalidated(cache: DataFrame, deletions: DataFrame) -> DataFrame:
+    """Cached rows (bucket, key, ...) that stay when the objects of these are deleted."""
+    return cache.join(deletions.select("bucket", "key").distinct(), ["bucket", "key"], "left_anti")
+
+
 def object_url(base: Column, bucket: Column, prefix: Column, name: Column) -> Column:
     return F.concat_ws("/", F.regexp_replace(base, "/+$", ""), *[F.nullif(x, F.lit("")) for x in (bucket, prefix, name)])
 
 
-__all__ = ["bundles", "deletions", "mime", "object_url", "report", "rss_documents", "rss_item", "source_counts", "unmatched_report", "xml"]
+__all__ = ["bundles", "deletions", "invalidated", "mime", "object_url", "put_cached", "report", "rss_documents", "rss_item", "series", "source_counts", "unmatched_report", "uploads", "write_text", "xml"]

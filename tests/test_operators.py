@@ -141,6 +141,24 @@ def test_title_filter(spark, f, title, want):
     assert (rules.title_filter(spark.createDataFrame([(title,)], "title string"), f).count() == 1) is want
 
 
+def test_rules_equal_the_calendar_library(spark):
+    """Every kind of part over a year, as expressions or day by day; without DTSTART a rule starts on the day itself."""
+    texts = [
+        "FREQ=MONTHLY;BYDAY=2TU", "FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1", "FREQ=YEARLY;BYYEARDAY=1,100,-1", "FREQ=YEARLY;BYWEEKNO=20", "FREQ=HOURLY;INTERVAL=36", "FREQ=MINUTELY", "FREQ=WEEKLY;WKST=SU;INTERVAL=2;BYDAY=SU",
+        "FREQ=DAILY;INTERVAL=3", "FREQ=WEEKLY;BYDAY=MO,FR", "FREQ=MONTHLY;BYMONTHDAY=-1,15", "FREQ=YEARLY;BYMONTH=2,3", "FREQ=WEEKLY;INTERVAL=2", "FREQ=MONTHLY;BYMONTHDAY=31;COUNT=5", "FREQ=DAILY;UNTIL=20240401T000000", "FREQ=SOMETIMES", "FREQ=DAILY;BYHOUR=9,17", "FREQ=MONTHLY;BYDAY=-1FR;INTERVAL=2",
+    ]
+    texts += [f"DTSTART:20240103T000000\nRRULE:{t}" for t in texts if "MINUTELY" not in t] + ["DTSTART:20240124T000000Z\nRRULE:FREQ=WEEKLY;BYDAY=MO"]
+    days = [dt.date(2023, 12, 20) + dt.timedelta(days=i) for i in (*range(60), *range(100, 400, 9))]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    got = df.select("d", *[rules.on_schedule(F.col("d"), [t]).alias(f"r{i}") for i, t in enumerate(texts)]).orderBy("d").collect()
+    for i, t in enumerate(texts):
+        assert [r[f"r{i}"] for r in got] == [rules.occurs(t, d) for d in days], t
+    second = [r["d"] for r in got if r["r0"] and r["d"].month == 1]
+    assert second == [dt.date(2024, 1, 9)] or all(d.weekday() == 1 for d in second)
+    shows = spark.createDataFrame([("a", ["FREQ=WEEKLY;BYDAY=WE"]), ("b", ["FREQ=WEEKLY;BYDAY=TH", "FREQ=MONTHLY;BYDAY=1WE"]), ("c", []), ("d", ["nonsense"]), ("e", None)], "name string, schedule array<string>")
+    assert sorted(r["name"] for r in rules.due(shows, dt.date(2026, 4, 1)).collect()) == ["a", "b", "c", "e"]
+
+
 @pytest.mark.parametrize(("rule", "day", "want"), [
     ("FREQ=WEEKLY;BYDAY=MO", dt.date(2026, 3, 30), True), ("FREQ=WEEKLY;BYDAY=MO", dt.date(2026, 3, 31), False), ("FREQ=WEEKLY", dt.date(2026, 3, 31), True),
     ("FREQ=DAILY;INTERVAL=2", dt.date(2026, 4, 1), True), ("DTSTART:20260330T000000\nRRULE:FREQ=DAILY;INTERVAL=2", dt.date(2026, 3, 31), False),
@@ -158,6 +176,32 @@ def test_traces(spark):
     assert got == {0: [(0, "matched"), (1, "reference_matched_elsewhere")], 1: [(0, "download_matched_elsewhere"), (1, "below_threshold")], 2: []}
 
 
+def test_unreachable_images_give_way_in_fusion(spark):
+    url = "https://i.ytimg.com/vi/x/maxresdefault.jpg"
+    row = lambda image: spark.createDataFrame([("s", 0, "i", "t", "", "u", image, None)], "show string, idx bigint, id string, title string, description string, content string, image string, pub_date timestamp")
+    pairs = spark.createDataFrame([("s", 0, 0, 0.9, 1)], "show string, ref_idx bigint, dl_idx bigint, score double, rank bigint")
+    gone = spark.createDataFrame([(url,), (url,)], "url string")
+    pick = lambda a, b, g: fuse.fuse(pairs, row(a), row(b), g).first()["thumbnail"]
+    assert pick("http://c/cover.jpg", url, gone) == "http://c/cover.jpg" and pick(None, url, gone) == "https://i.ytimg.com/vi/x/hqdefault.jpg"
+    assert pick(None, url, gone.limit(0)) == url == pick(None, url, None)
+
+
+def test_events_and_timings():
+    from feedweave.operators.events import Events, StageDone, Timings
+
+    events, seen = Events(), []
+    events.subscribe(StageDone, seen.append)
+    events.subscribe(int, lambda e: seen.append(-e))
+    timings = Timings(events)
+    for name in ("zeta", "write_outputs", "align_episodes"):
+        with timings.stage(name):
+            pass
+    events.publish(True)  # another type than int
+    events.publish(3)
+    assert [getattr(e, "stage", e) for e in seen] == ["zeta", "write_outputs", "align_episodes", -3]
+    assert [x.split("=")[0] for x in timings.line("S").split()] == ["TIMING", "S:", "align_episodes", "write_outputs", "zeta"] and Timings().line("S") == ""
+
+
 def test_plan_and_cleanup(spark):
     q = spark.createDataFrame([("a", 0, False, DAY, "x"), ("a", 1, True, DAY, "y"), ("a", 2, False, None, "z"), ("b", 0, False, DAY, "w")], "show string, idx bigint, exists_on_s3 boolean, pub_date timestamp, title string")
     assert [(r["show"], r["idx"]) for r in workplan.capped(q, 2).orderBy("place").collect()] == [("a", 0), ("a", 2)]

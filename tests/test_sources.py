@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -81,3 +82,72 @@ def test_bundles(spark, tmp_path):
     rows = spark.createDataFrame([("My Show", 1), ("Other", 2)], "show string, rank int")
     sinks.bundles(rows, str(tmp_path / "b"))
     assert sorted(p.name for p in (tmp_path / "b").iterdir() if p.is_dir()) == ["slug=my-show", "slug=other"]
+
+
+def test_merge_from_configuration(spark, tmp_path):
+    """Sources are dispatched by URL, filtered by their own patterns and days, merged with their show's own rules, and bundled."""
+    from feedweave.operators.events import Timings
+    from feedweave.plans import series
+
+    item = lambda n, title, day: f'<item><guid>r{n}</guid><title>{title}</title><pubDate>{day}</pubDate><enclosure url="http://a/{n}.mp3"/></item>'
+    feed = "<rss><channel><title>S</title>" + item(1, "Lost City Haunting | Show", "Tue, 02 Jan 2024 10:00:00 +0000") + item(2, "Trailer", "Tue, 02 Jan 2024 10:00:00 +0000") + item(3, "River Story", "Wed, 03 Jan 2024 10:00:00 +0000") + "</channel></rss>"
+    (tmp_path / "a.xml").write_text(feed)
+    (tmp_path / "v.json").write_text("\n".join(json.dumps(x) for x in [{"id": "v1", "title": "Lost City Haunting", "upload_date": "20240103"}, {"id": "v2", "title": "Lost City Haunting", "availability": "private"}, {"id": "v3", "title": "Other"}]))
+    (tmp_path / "c.toml").write_text("""
+[[podcasts]]
+name = "First Show"
+[[podcasts.references]]
+url = "https://feeds/a"
+[podcasts.references.filters]
+exclude = ["trailer"]
+r_rules = ["FREQ=WEEKLY;BYDAY=TU"]
+[[podcasts.downloads]]
+url = "yt://@first"
+[podcasts.cleanup.title_normalization]
+suffix_patterns = ['\\s*\\| Show$']
+[[podcasts]]
+name = "Quiet Show"
+schedule = ["FREQ=WEEKLY;BYDAY=SU"]
+[[podcasts.references]]
+url = "https://feeds/a"
+""")
+    shows = config.load(str(tmp_path / "c.toml"))
+    landed = {"https://feeds/a": str(tmp_path / "a.xml"), "yt://@first": str(tmp_path / "v.json")}.__getitem__
+    timings = Timings()
+    out = series.run(spark, shows, landed, dt.date(2024, 1, 2), timings=timings)
+    assert [s.name for s in out.shows] == ["First Show"] and "align_episodes=" in timings.line("all")
+    assert [(r["id"], r["title"], r["rank"]) for r in out.merged.episodes.collect()] == [("v1", "Lost City Haunting | Show", 1)]
+    assert {r["show"]: r["counts"] for r in out.counts.collect()} == {"First Show": [1, 2]}
+    sinks.series(spark, shows, out.reports, "file://" + str(tmp_path / "out"), "now")
+    read = lambda name: json.loads((tmp_path / "out" / name).read_text())
+    assert read("first-show/config.json")["slug"] == "first-show" and read("first-show/feeds/combined.json")["episodes"][0]["id"] == "v1"
+    assert read("quiet-show/feeds/combined.json")["merged_count"] == 0
+    assert read("index.json") == {"generated_at": "now", "series": [{"name": n, "slug": s, "directory": s, "config": f"{s}/config.json", "feeds": {"combined": f"{s}/feeds/combined.json"}} for n, s in (("First Show", "first-show"), ("Quiet Show", "quiet-show"))]}
+    assert [r["merged_count"] for r in read("report.json")] == [1, 0]
+    assert [s.name for s in series.run(spark, shows, landed).shows] == ["First Show", "Quiet Show"]
+
+
+def test_landed_versions_and_listings(spark, tmp_path):
+    rows = [("u", 1, 200, "a"), ("u", 2, 200, "b"), ("u", 3, 304, None), ("w", 1, 200, "c")]
+    got = readers.latest(spark.createDataFrame(rows, "url string, fetched_at int, status int, body string")).collect()
+    assert {r["url"]: (r["body"], r["fetched_at"], r["checked_at"]) for r in got} == {"u": ("b", 2, 3), "w": ("c", 1, 1)}
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert [r["id"] for r in readers.new_ids(ids("a", "b", "c"), ids("a", "c", "c")).collect()] == ["b"]
+    (tmp_path / "deep").mkdir()
+    for name in ("x.mp3", "x.opus", "y.mp3", "deep/z.mp3"):
+        (tmp_path / name).write_text(name)
+    assert readers.listing(spark, str(tmp_path)).count() == 4
+    direct = readers.listing(spark, str(tmp_path), recursive=False)
+    assert sorted(r["name"] for r in direct.collect()) == ["x.mp3", "x.opus", "y.mp3"]
+    assert {r["stem"]: r["name"] for r in readers.by_stem(direct).collect()} == {"x": "x.opus", "y": "y.mp3"}
+
+
+def test_actions_and_cached_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "k/a.m4a", "/tmp/a", {"duration": "1"})], "bucket string, key string, path string, metadata map<string,string>")
+    got = sinks.uploads(rows).first()
+    assert (got["content_type"], got["acl"], got["part_bytes"], got["threads"], got["metadata"]) == ("audio/mp4", "public-read", 8 << 20, 4, {"duration": "1"})
+    cache = spark.createDataFrame([("b", "k/a.m4a", 1), ("b", "z", 2)], "bucket string, key string, n int")
+    assert [r["n"] for r in sinks.invalidated(cache, rows).collect()] == [2]
+    sinks.put_cached(cache, str(tmp_path / "cached"))
+    sinks.put_cached(cache.limit(1), str(tmp_path / "cached"))
+    assert spark.read.parquet(str(tmp_path / "cached")).count() == 1
