@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedweave.llm.common import heavy_map, mix, span_hashes, table, texts, word_spans
 
-EXACT, LANES, WINDOW = 8, 128, 3
+EXACT, LANES, WINDOW = 8, 256, 3
 OUT_ROWS = 512
+#: Characters of a bucket, about, and buckets at most (their first ids are part of the plan).
+BUCKET_CHARS, BUCKETS = 1 << 24, 20_000
 
 
 class Fingerprint:
@@ -103,9 +105,9 @@ def refreshed(whole: Fingerprint, text: str, new: str) -> Fingerprint:
 
 def in_order(docs: DataFrame) -> DataFrame:
     """(doc_id, text, bucket, tail): rows in buckets of consecutive ids, each bucket closed by a copy (tail) of the row
-    that follows it.  One shuffle of the texts; the cuts are ids, as many as there are buckets."""
-    spark = docs.sparkSession
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    that follows it.  One shuffle of the texts; the cuts are ids, as many as there are buckets, and these grow with the texts."""
+    size = docs.select(F.sum(F.length("text"))).first()[0] or 0
+    n = min(BUCKETS, max(2, -(-size // BUCKET_CHARS)))
     ids = docs.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("cuts")).first()
     if ids["low"] is None:
         return docs.select("doc_id", "text", F.lit(0).alias("bucket"), F.lit(False).alias("tail"))

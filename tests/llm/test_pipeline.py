@@ -31,3 +31,30 @@ def test_stages(spark, tmp_path):
     t = bpe.WordTokenizer(bpe.word_bpe_path())
     assert all(bytes(r["ids"]) == t.encode(kept[3][i]["text"]) for i, r in kept[4].items())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept[4])
+
+
+def test_edges(spark, tmp_path):
+    """Null ids and columns, repeated rows, very long texts, columns with clashing names; nothing that is clean goes."""
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(800)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(1, say(50), "en", "s", 1), (None, say(60), None, None, None), (None, None, None, None, None), (2, say(40), "en", None, 1), (2, "same id, other text " + say(40), "en", "s", 1), (3, say(40_000), "en", "s", 1), (4, None, "en", "s", None)]
+    rows += [(5, say(45), "en", "s", 1)] * 2
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 AS component_id", "'x' AS spans", "2 AS kept", "'y' AS __base", "3 AS doc", "4 AS row", "5 AS ids", "6 AS bucket")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, None), (1, say(20))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    current = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        current = stage(spark, current, str(tmp_path))
+        if n < 4:
+            assert current.columns == docs.columns
+        kept = sorted((r["doc_id"] for r in current.collect()), key=lambda x: (x is None, x))
+        assert kept == [1, 2, 2, 3, 5, 5, None, None], n
+
+
+def test_empty_documents(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
