@@ -80,6 +80,36 @@ projection("part_marker", "part", "p_partkey", lambda d: {"x": text.part_marker(
 PART_RULES = TitleRules((r"(?i)^small\s+",), (r"(?i)\s*v\.mp3$",), ("Brand 1 s",), (Replacement(r"Brand#(\d+)", r"Brand \1"), Replacement("ring", "band", "slug")))
 projection("normalize_title_rules", "part", "p_partkey", lambda d: {"slug": text.normalize_title(_part(d), PART_RULES, d), "title_n": text.alignment_title(_part(d), PART_RULES, d)})
 
+# The same functions on fixed texts with the values that they must have, worked out by hand.
+def cases(name: str, build, expected: dict[str, str | float | bool | None]) -> None:
+    def value(y) -> str:
+        return "NULL" if y is None else f"'{y.replace(chr(39), chr(39) * 2)}'" if isinstance(y, str) else str(y).lower()
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.createDataFrame(list(enumerate(expected)), "i int, x string").select("i", F.expr(build("x")).alias("y"))
+
+    QUERIES[f"cases_{name}"] = run
+    ORACLE_SQL[f"cases_{name}"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {value(y)})" for i, y in enumerate(expected.values())) + ") t(i, y)"
+
+
+cases("slugify", text.create_slug, {
+    "Hello World": "hello-world", "Don't Stop": "dont-stop", "He'd Rather Not": "hed-rather-not", "America's History": "americas-history", "Let_s Go": "lets-go", "Hello@World!": "helloworld", "Price: $99.99": "price-9999",
+    "50% Off": "50-off", "Café": "cafe", "München": "munchen", "Привет": "privet", "Hello    World": "hello-world", "--Both--": "both", "Ωμέγα": "omega", "a.b.mp3": "ab", "Vol.3": "vol", "Vol.2": "vol2", "": "", "x" * 130: "x" * 100,
+})
+cases("strip_extension", text.remove_file_extension, {"my.file.txt": "my.file", "VIDEO.MP4": "VIDEO", "noext": "noext", "Vol.2": "Vol.2", "a.": "a.", ".hidden": ""})
+cases("is_slug", text.is_slug, {"hello-world": True, "a1": True, "a-b-c": True, "Hello": False, "a--b": False, "-a": False, "a-": False, "a b": False, "": False, "a_b": False})
+cases("normalize_text", text.normalize_text, {
+    "Episode IV: A New Hope": "episode 4 a new hope", "Rise (Pt. II)": "rise part 2", "I & You": "1 and you", "twenty one pilots": "20 1 pilots", "The 1st and 22nd": "the 1 and 22", "100% Wolf #3": "100 percent wolf number 3",
+    "ﬁne": "fine", "Part IX.mp4": "part 9", "a_b": "a_b", "": "", "  spaced   out  ": "spaced out",
+})
+cases("roman_numerals", text.roman_numerals, {"Rocky IV": "Rocky 4", "viii ix x": "8 9 10", "III II I": "3 2 1", "VIP mix": "VIP mix", "Act V, VI and VII": "Act 5, 6 and 7"})
+cases("number_words", text.number_words, {"Twenty One": "20 1", "one hundred": "1 100", "onerous": "onerous", "Ninety nine thousand": "90 9 1000", "zero": "0"})
+cases("ordinals", text.ordinals, {"1st 2nd 3rd 4th": "1 2 3 4", "21ST": "21", "1sting": "1sting", "the 100th": "the 100"})
+cases("symbol_words", text.symbol_words, {"a&b": "a and b", "50%": "50 percent ", "@x": " at x", "#1": " number 1", "1+1=2": "1 plus 1 equals 2", "$5": " dollar 5"})
+cases("part_marker", text.part_marker, {"A (Pt. II)": "A part II", "A (pt 3)": "A part 3", "A (Pt.IV)": "A part IV", "A (Part 2)": "A (Part 2)", "(Pt. V)": "part V"})
+cases("normalize_title_rules", lambda x: text.normalize_title(x, TitleRules((r"(?i)^episode\s+\d+:\s*",), (r"(?i)\|\s*show$",), ("The Show",), (Replacement("^x-", "", "slug"),))), {"Episode 12: The Moon | Show": "the-moon", "X Ray The Show": "ray", "Plain": "plain", "Episode 1: ": ""})
+cases("strip_control", text.remove_control_chars, {"a\x01b": "ab", "tab\tkept": "tab\tkept", "\x7f": "", "plain": "plain"})
+
 # Dates, durations, hashes.
 projection(
     "parse_duration", "events", "event_id",
@@ -91,6 +121,25 @@ QUERIES["epoch_parse"] = lambda spark, sf: table(spark, sf, "events").select("ev
 projection("yyyymmdd_parse", "orders", "o_orderkey", lambda d: {"day": f"cast({scalars.compact_date('case when o_orderkey % 4 = 0 then o_orderpriority else ' + ('date_format(o_orderdate, ' + chr(39) + 'yyyyMMdd' + chr(39) + ')' if d.spark else 'strftime(o_orderdate, ' + chr(39) + '%Y%m%d' + chr(39) + ')') + ' end', d)} as {'string' if d.spark else 'varchar'})"})
 projection("hash_prefix", "documents", "doc_id", lambda d: {"feed": scalars.md5_prefix("text", 16), "config": scalars.md5_prefix("lang", 8), "key": f"substring({'sha2(text, 256)' if d.spark else 'sha256(text)'}, 1, 24)"})
 
+cases("parse_duration", scalars.parse_duration, {"90": 90.0, "1:30": 90.0, "01:01:30": 3690.0, "": None, "1:2:3:4": None, "x": None, "0:05.5": 5.5})
+cases("yyyymmdd_parse", lambda x: f"cast({scalars.compact_date(x)} as string)", {"20240131": "2024-01-31", "20241301": None, "2024": None, "2024013x": None})
+cases("byte_format", lambda x: scalars.byte_format(f"cast({x} as bigint)"), {"0": "0.0 B", "1023": "1023.0 B", "1024": "1.0 KB", "1280": "1.2 KB", "1408": "1.4 KB", "1572864": "1.5 MB", str(5 * 1024**5): "5.0 PB"})
+cases("url_shape", scalars.channel_url, {
+    "https://youtube.com/@Abc": "https://www.youtube.com/@Abc/videos", "https://www.youtube.com/@a-b/videos": "https://www.youtube.com/@a-b/videos", "yt://@x_1": "https://www.youtube.com/@x_1/videos",
+    "yt://#PL1": "https://www.youtube.com/playlist?list=PL1", "https://youtube.com/playlist?list=PLx": "https://www.youtube.com/playlist?list=PLx", "ftp://x": None, "": None,
+})
+cases("url_extract", scalars.video_id, {"https://www.youtube.com/watch?v=ab-_1&t=2": "ab-_1", "youtube.com/watch?v=Q": "Q", "https://youtu.be/abc": None, "x": None})
+cases("path_stem", scalars.stem, {"a.b.mp3": "a.b", ".hidden": ".hidden", "x/.y": "x/.y", "plain": "plain", "dir.d/n": "dir.d/n"})
+cases("audio_filter", lambda x: scalars.is_audio_url(x), {"http://a/1.mp3": True, "http://a/1.opus?x=1": True, "http://a/1.txt": False, "mp3": False})
+cases("error_reason", scalars.error_reason, {
+    "ERROR: Private video. Sign in": "private video", "Sign in to confirm your age": "age-restricted; retrying with authentication", "Premieres in 5 hours": "premiere not yet available", "not available in your country": "geo-restricted video",
+    "geo restriction: block": "geo-restricted video", "Join: members-only content": "members-only video", "Video unavailable": "video unavailable", "odd\nsecond line": "odd",
+})
+cases("date_tiers", lambda x: f"cast({scalars.date_similarity(f'timestamp_seconds(1709251200 + 3600 * cast({x} as bigint))', 'timestamp_seconds(1709251200)')} as double)", {"0": 1.0, "60": 1.0, "-60": 0.7, "240": 0.7, "-241": 0.15, "456": 0.15, "840": 0.15, "864": 0.0, "-1440": 0.0})
+cases("bit_rate", lambda x: f"cast({scalars.bit_rate(f'cast(nullif(split({x}, chr(44))[0], chr(45)) as int)', f'cast(nullif(split({x}, chr(44))[1], chr(45)) as int)', f'split({x}, chr(44))[2] = chr(102)')} as string)", {"128,96,-": "96", "64,96,-": "64", "64,96,f": "96", "-,96,-": "96", "64,-,-": None})
+cases("progress", lambda x: f"cast({scalars.progress(f'split({x}, chr(44))[0]', f'try_cast(split({x}, chr(44))[1] as int)', f'cast(split({x}, chr(44))[2] as int)', f'try_cast(split({x}, chr(44))[3] as int)', f'cast(split({x}, chr(44))[4] as int)')} as double)", {"finished,-,0,-,0": 1.0, "on,50,200,-,0": 0.25, "on,300,200,-,0": 1.0, "on,-,0,3,4": 0.75, "on,-,0,-,0": None})
+
+
 def _base_date(d: text.Dialect) -> str:
     if d.spark:
         return "timestampadd(HOUR, cast(l_partkey % 50 as int) * 12 - cast(l_suppkey % 40 as int) * 12, l_shipdate)"
@@ -141,6 +190,61 @@ def _schedule(spark, sf):
     return o.select("o_orderkey", rules.on_schedule(day, ["FREQ=WEEKLY;BYDAY=WE"]).alias("w"), rules.on_schedule(day, ["DTSTART:19950103T000000\nRRULE:FREQ=WEEKLY;INTERVAL=2;BYDAY=WE"]).alias("biweekly"), rules.on_schedule(day, ["DTSTART:19960301T000000\nRRULE:FREQ=YEARLY"]).alias("yearly"))
 
 
+@query("rrule_standard", """SELECT event_id, dayofweek(ts) = 2 AND dayofmonth(ts) BETWEEN 8 AND 14 AS second_tuesday,
+dayofmonth(ts) = dayofmonth(last_day(ts)) - CASE dayofweek(last_day(ts)) WHEN 0 THEN 2 WHEN 6 THEN 1 ELSE 0 END AS last_workday, dayofyear(ts) IN (10, 20, 30) AS day_of_year, true AS hourly FROM events""")
+def _rrule_standard(spark, sf):
+    on = lambda rule: rules.on_schedule(F.col("ts"), [rule])
+    return table(spark, sf, "events").select("event_id", on("FREQ=MONTHLY;BYDAY=2TU").alias("second_tuesday"), on("FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1").alias("last_workday"), on("FREQ=YEARLY;BYYEARDAY=10,20,30").alias("day_of_year"), on("FREQ=HOURLY;INTERVAL=5").alias("hourly"))
+
+
+@query("due_shows", "SELECT n_name AS name FROM nation WHERE n_nationkey % 4 = 0 OR n_nationkey % 4 = 1 OR n_nationkey % 12 = 3")
+def _due(spark, sf):
+    """On Wednesday, 3 January 2024: no rule, weekly on Wednesday, weekly on Friday, first Wednesday or first Monday of the month."""
+    import datetime as dt
+
+    rule = F.when(F.col("n_nationkey") % 4 == 1, "FREQ=WEEKLY;BYDAY=WE").when(F.col("n_nationkey") % 4 == 2, "FREQ=WEEKLY;BYDAY=FR").when(F.col("n_nationkey") % 12 == 3, "FREQ=MONTHLY;BYDAY=1WE").when(F.col("n_nationkey") % 4 == 3, "FREQ=MONTHLY;BYDAY=1MO")
+    shows = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.when(rule.isNull(), F.array().cast("array<string>")).otherwise(F.array(rule)).alias("schedule"))
+    return rules.due(shows, dt.date(2024, 1, 3)).select("name")
+
+
+@query("stage_ok", "SELECT user_id AS show, NOT bool_or(event_type = 'error' AND event_id % 2 = 0) AS ok FROM events GROUP BY user_id")
+def _stage_ok(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("show"), "event_type", "event_id")
+    errors = e.where("event_type in ('error', 'view')").select("show", F.expr("event_type = 'error' and event_id % 2 = 0").alias("fatal"))
+    return workplan.stage_ok(errors, e)
+
+
+@query("landed_versions", "SELECT user_id AS url, arg_max(event_id, event_id) FILTER (event_type <> 'view') AS body, max(event_id) AS checked_at FROM events GROUP BY user_id HAVING body IS NOT NULL")
+def _landed(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("url"), F.col("event_id").alias("fetched_at"), F.when(F.col("event_type") == "view", 304).otherwise(200).alias("status"), F.col("event_id").alias("body"))
+    return readers.latest(e).select("url", "body", "checked_at")
+
+
+@query("listing_by_stem", "SELECT p_name AS stem, max(concat(p_name, CASE WHEN p_size % 2 = 0 THEN '.mp3' ELSE '.opus' END)) AS name FROM part GROUP BY p_name")
+def _by_stem(spark, sf):
+    name = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, ".mp3").otherwise(".opus"))
+    objects = table(spark, sf, "part").select(F.lit("b").alias("bucket"), F.lit("").alias("prefix"), name.alias("name"), F.lit("e").alias("etag")).withColumn("stem", F.expr(scalars.stem("name")))
+    return readers.by_stem(objects).select("stem", "name")
+
+
+@query("incremental_ids", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)")
+def _incremental(spark, sf):
+    known = table(spark, sf, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("id"))
+    return readers.new_ids(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), known)
+
+
+@query("upload_actions", "SELECT concat('k/', p_partkey, CASE WHEN p_size % 2 = 0 THEN '.m4a' ELSE '.mp3' END) AS key, CASE WHEN p_size % 2 = 0 THEN 'audio/mp4' ELSE 'audio/mpeg' END AS content_type, 'public-read' AS acl, CAST(p_size AS VARCHAR) AS duration, 8388608 AS part_bytes, 4 AS threads FROM part")
+def _uploads(spark, sf):
+    key = F.concat(F.lit("k/"), "p_partkey", F.when(F.col("p_size") % 2 == 0, ".m4a").otherwise(".mp3"))
+    rows = table(spark, sf, "part").select(F.lit("b").alias("bucket"), key.alias("key"), F.lit("/x").alias("path"), F.create_map(F.lit("duration"), F.col("p_size")).alias("metadata"))
+    return sinks.uploads(rows).select("key", "content_type", "acl", F.col("metadata")["duration"].alias("duration"), "part_bytes", "threads")
+
+
+@query("epoch_seconds", "SELECT event_id, CAST(trunc(epoch_us(ts - INTERVAL 54 YEAR) / 1000000.0) AS BIGINT) AS seconds FROM events")
+def _epoch_seconds(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.expr(scalars.epoch_seconds("ts - interval 54 years")).alias("seconds"))
+
+
 @query("tag_filter", "SELECT p_partkey FROM part WHERE lower(p_name) = 'red widget' OR lower(p_type) IN ('economy', 'promo') OR lower(p_brand) IN ('economy', 'promo')")
 def _tags(spark, sf):
     p = table(spark, sf, "part")
@@ -219,6 +323,19 @@ def _marker_mismatch(spark, sf):
     return _token_pairs(spark, sf).select(F.col("a_p_partkey").alias("p_partkey"), linkage.marker_mismatch().alias("mismatch"))
 
 
+_MARKS = ("listener tales episode ", "part ", "vol ", "episode ")
+
+
+@query("marker_patterns", """SELECT p_partkey, (p_partkey % 4 = p_size % 4 OR (p_partkey % 4 = 0 AND p_size % 4 = 3) OR (p_partkey % 4 = 3 AND p_size % 4 = 0)) AND p_size % 3 <> p_size % 5 AS mismatch FROM part""")
+def _marker_patterns(spark, sf):
+    """All four kinds of marker, of one kind on both sides or of two ("listener tales episode N" is two at once)."""
+    p = table(spark, sf, "part")
+    mark = lambda key, n: "concat(p_name, ' ', case " + " ".join(f"when {key} % 4 = {i} then '{m}'" for i, m in enumerate(_MARKS)) + f" end, {n})"
+    side = lambda key, n, name: linkage.sides(linkage.with_tokens(p.select("p_partkey", F.lit("").alias("show"), F.expr(mark(key, n)).alias("title_n")), ()), name).drop("show")
+    both = side("p_partkey", "p_size % 3", "a").join(side("p_size", "p_size % 5", "b"), F.col("a_p_partkey") == F.col("b_p_partkey"))
+    return both.select(F.col("a_p_partkey").alias("p_partkey"), linkage.marker_mismatch().alias("mismatch"))
+
+
 # Similarity of all pairs of names of one brand.
 def _names(spark, sf) -> DataFrame:
     return table(spark, sf, "part").select("p_brand", "p_name").distinct()
@@ -392,10 +509,11 @@ def _unmatched(spark, sf):
     return workplan.unmatched(s.select("show", F.col("dl_idx").alias("idx")).distinct(), p)
 
 
-@query("unmatched_references", _PAIRS + "SELECT show, count(*) AS n FROM (SELECT DISTINCT show, ref_idx FROM s) u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.show = u.show AND p.ref_idx = u.ref_idx) GROUP BY show")
+@query("unmatched_references", _PAIRS + "SELECT show, count(*) AS n, string_agg(ref_idx || ':t' || ref_idx, ',' ORDER BY ref_idx) AS unmatched FROM (SELECT DISTINCT show, ref_idx FROM s) u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.show = u.show AND p.ref_idx = u.ref_idx) GROUP BY show")
 def _unmatched_refs(spark, sf):
     s, p = _event_pairs(spark, sf)
-    return sinks.unmatched_report(s.select("show", F.col("ref_idx").alias("idx"), F.lit("").alias("title")).distinct(), p).select("show", "n")
+    refs = s.select("show", F.col("ref_idx").alias("idx"), F.concat(F.lit("t"), "ref_idx").alias("title")).distinct()
+    return sinks.unmatched_report(refs, p).withColumn("unmatched", F.array_join(F.transform("unmatched", lambda x: F.concat_ws(":", x["idx"].cast("string"), x["title"])), ","))
 
 
 _FUSE = """WITH a AS (SELECT doc_id, lang, text, {t} AS title FROM documents) SELECT a.doc_id AS ref_idx, b.doc_id AS dl_idx,
@@ -403,7 +521,8 @@ CASE WHEN a.doc_id % 2 = 0 OR b.doc_id % 3 <> 0 THEN CASE WHEN b.doc_id % 3 = 0
 CASE WHEN length(b.title) > length(a.title) OR (length(b.title) = length(a.title) AND length(b.title) - length(replace(b.title, ':', '')) > length(a.title) - length(replace(a.title, ':', ''))) THEN b.title ELSE a.title END AS title,
 CASE WHEN length(CASE WHEN b.doc_id % 5 = 0 THEN '' ELSE b.text END) > length(a.text) THEN b.text ELSE a.text END AS description,
 'https://e/a' || a.doc_id || CASE WHEN a.doc_id % 4 = 0 THEN '' ELSE ',https://e/b' || b.doc_id END AS source,
-CASE WHEN a.doc_id % 2 = 0 AND a.doc_id % 3 = 0 THEN 'https://i.ytimg.com/vi/x/maxresdefault.jpg' WHEN a.doc_id % 3 = 0 THEN 'https://i.ytimg.com/vi/y/hqdefault.jpg' WHEN a.doc_id % 2 = 0 THEN 'https://i.ytimg.com/vi/x/maxresdefault.jpg' ELSE 'https://i.ytimg.com/vi/y/hqdefault.jpg' END AS thumbnail
+CASE WHEN a.doc_id % 2 = 0 AND a.doc_id % 3 = 0 THEN 'https://i.ytimg.com/vi/x/maxresdefault.jpg' WHEN a.doc_id % 3 = 0 THEN 'https://i.ytimg.com/vi/y/hqdefault.jpg' WHEN a.doc_id % 2 = 0 THEN 'https://i.ytimg.com/vi/x/maxresdefault.jpg' ELSE 'https://i.ytimg.com/vi/y/hqdefault.jpg' END AS thumbnail,
+least(CASE WHEN a.doc_id % 11 <> 0 THEN 1704067200 + a.doc_id % 50 * 86400 END, CASE WHEN b.doc_id % 13 <> 0 THEN 1704067200 + b.doc_id * 7 % 50 * 86400 END) AS upload_seconds
 FROM a JOIN a AS b ON b.doc_id = a.doc_id + 1"""
 
 
@@ -415,8 +534,11 @@ def _fuse(spark, sf):
     refs = d.select(*cols(F.when(i % 2 == 0, F.concat(F.lit("http"), i)).otherwise(F.concat(F.lit("r"), i)), F.col("text"), F.concat(F.lit("https://e/a"), i), F.when(i % 3 == 0, F.lit(None)).otherwise(F.lit("https://cdn/hq.jpg")).cast("string")))
     refs = refs.withColumn("image", F.when(F.col("idx") % 2 == 0, "https://i.ytimg.com/vi/x/maxresdefault.jpg").when(F.col("idx") % 3 == 0, None).otherwise("https://cdn/cover.jpg"))
     dls = d.select(*cols(F.when(i % 3 == 0, F.concat(F.lit("https://e/"), i)).otherwise(F.concat(F.lit("d"), i)), F.when(i % 5 == 0, None).otherwise(F.col("text")), F.when((i - 1) % 4 == 0, "").otherwise(F.concat(F.lit("https://e/b"), i)), F.lit("https://i.ytimg.com/vi/y/hqdefault.jpg")))
+    at = lambda days: F.timestamp_seconds(F.lit(1704067200) + days % 50 * 86400)
+    refs = refs.withColumn("pub_date", F.when(F.col("idx") % 11 != 0, at(F.col("idx"))))
+    dls = dls.withColumn("pub_date", F.when(F.col("idx") % 13 != 0, at(F.col("idx") * 7)))
     pairs = d.select(F.lit("s").alias("show"), i.alias("ref_idx"), (i + 1).alias("dl_idx"), F.lit(1.0).alias("score"), i.alias("rank"))
-    return fuse.fuse(pairs, refs, dls).select("ref_idx", "dl_idx", "id", "title", "description", F.array_join("source", ",").alias("source"), "thumbnail")
+    return fuse.fuse(pairs, refs, dls).select("ref_idx", "dl_idx", "id", "title", "description", F.array_join("source", ",").alias("source"), "thumbnail", F.unix_seconds("upload_date").alias("upload_seconds"))
 
 
 @query("slug_guard", f"""WITH t AS (SELECT doc_id, lang AS show, {text.create_slug(title_of(DUCK), DUCK)} AS slug FROM documents)
@@ -533,10 +655,12 @@ def _diff(spark, sf):
     return upsert.difference(d.select("doc_id", F.expr(text.create_slug(title_of(SPARK))).alias("title")), d.select("doc_id", F.expr(f"replace({text.normalize_text(title_of(SPARK))}, ' ', '-')").alias("title")))
 
 
-@query("report_json", "SELECT event_type AS show, count(*) AS merged_count FROM events GROUP BY event_type")
+@query("report_json", """SELECT event_type AS show, count(*) AS merged_count, '[' || string_agg('{"id":"' || user_id || '","title":"' || event_type || ' ' || event_id % 7 || '","source":["x"],"upload_date":"2024-01-0' || (1 + event_id % 9) || 'T00:00:00.000Z"}', ',' ORDER BY event_id) || ']' AS episodes FROM events GROUP BY event_type""")
 def _report(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_type").alias("show"), F.col("event_id").alias("rank"), F.col("user_id").cast("string").alias("id"), F.col("props").alias("title"), F.lit("").alias("description"), F.array(F.lit("x")).alias("source"), F.lit(None).cast("string").alias("thumbnail"), F.col("ts").alias("upload_date"))
-    return sinks.report(e, describe=False).select("show", "merged_count")
+    day = F.timestamp_seconds(F.lit(1704067200) + F.col("event_id") % 9 * 86400)
+    title = F.concat_ws(" ", "event_type", (F.col("event_id") % 7).cast("string"))
+    e = table(spark, sf, "events").select(F.col("event_type").alias("show"), F.col("event_id").alias("rank"), F.col("user_id").cast("string").alias("id"), title.alias("title"), F.lit("").alias("description"), F.array(F.lit("x")).alias("source"), F.lit(None).cast("string").alias("thumbnail"), day.alias("upload_date"))
+    return sinks.report(e, describe=False)
 
 
 @query("rss_items", "SELECT p_partkey, '<item><guid>' || p_partkey || '</guid><title>' || p_name || ' &amp; co</title><enclosure url=\"https://e/' || p_partkey || '.mp3\" type=\"audio/mpeg\"/><itunes:duration>' || p_size || '</itunes:duration></item>' AS item FROM part")
