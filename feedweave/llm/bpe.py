@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedweave.llm.common import heavy_map, table, texts
 
-#: Word encodings a worker remembers before the older half of them goes, and symbols of a beginning that it remembers.
+#: Word encodings that a worker remembers before older ones go (beginnings and pairs of tokens: a third as many); symbols of a beginning.
 CACHE_WORDS, START = 800_000, 8
 #: Longer words are not remembered.
 CACHE_CHARS = 64
@@ -116,7 +116,7 @@ class Merges:
     def fits(self, a: str, b: str) -> bool:
         """Whether the boundary between two adjacent tokens is kept when they are encoded together."""
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > CACHE_WORDS // 3:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._kept(a, b)
         return known
@@ -266,7 +266,7 @@ class Transducer:
             row = starts.get(part)
             if row is None:
                 self.step(s)
-                if len(starts) > 1_000_000:
+                if len(starts) > CACHE_WORDS // 3:
                     starts.clear()
                 starts[part] = self.last[n]
             else:
@@ -315,8 +315,12 @@ class WordTokenizer:
     def chunk(self, raw: str) -> bytes:
         """Ids of a piece of text without white space at its ends."""
         text = raw.lower() if raw.isascii() else unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
-        parts = self.parts
-        return b"".join([parts[word] for word in self.pattern.findall(text)])
+        parts = self.pattern.findall(text)
+        if parts == [raw]:
+            return self.pre_token(raw)
+        # A part of plain letters is a piece of its own, and remembered as such.
+        words, others = self.words, self.parts
+        return b"".join([words[x] if x.isascii() and x.isalpha() else others[x] for x in parts])
 
     def plain(self, text: str):
         """Ids of a text without special tokens, slice by slice."""
