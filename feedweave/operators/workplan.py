@@ -31,11 +31,11 @@ def queue_order() -> list:
 def capped(queue: DataFrame, most: int, show_order: str = "show") -> DataFrame:
     """The first `most` missing rows over all shows, in order of show and queue; existing rows do not count and stay out.
 
-    Ranks come from counts per show and a rank inside the show, so no task holds more than one show.
+    Ranks come from counts per show (of `most` shows at most) and a rank inside the show, so no task holds more than one show.
     """
     todo = queue.where(~F.col("exists_on_s3"))
     inside = F.row_number().over(Window.partitionBy(show_order).orderBy(*queue_order(), "idx"))
-    sizes = todo.groupBy(show_order).count()
+    sizes = todo.groupBy(show_order).count().orderBy(show_order).limit(most)  # every show has a row or more, so no others matter
     before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy(show_order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     ranked = todo.withColumn("place", inside).join(before, show_order).withColumn("place", F.col("place") + F.col("before")).drop("before")
     return ranked.where(F.col("place") <= most)
