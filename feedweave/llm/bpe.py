@@ -25,6 +25,7 @@ from __future__ import annotations
 import codecs
 import functools
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -37,6 +38,8 @@ from feedweave.llm.common import heavy_map, table, texts
 
 #: Word encodings that a worker remembers before older ones go (beginnings and pairs of tokens: a third as many); symbols of a beginning.
 CACHE_WORDS, START = 800_000, 8
+#: Words that it remembers between tasks.
+KEEP_WORDS = 50_000
 #: Longer words are not remembered.
 CACHE_CHARS = 64
 #: Characters of text that are encoded together, up to the next white space.
@@ -352,6 +355,16 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         return b"".join(self.stream(text))
 
+    def rest(self) -> None:
+        """Between tasks, when the worker may serve others: only the words met first, the frequent ones among them, are kept."""
+        for results in (self.words, self.parts):
+            results.old = {}
+            if len(results) > KEEP_WORDS:
+                first = dict(itertools.islice(results.items(), KEEP_WORDS))
+                results.clear()
+                results.update(first)
+        self.merges.starts.clear()
+
     def decoder(self) -> ByteDecoder:
         return ByteDecoder(self.raw, " ")
 
@@ -435,6 +448,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     ids, out, size = [], [], 0
             if ids:
                 yield rows(ids, out)
+        t.rest()
 
     def rows(ids, out):
         a, b, c = zip(*out, strict=True)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedweave.session import ship
@@ -52,18 +53,34 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep df, narrow rows that are read again soon, in the executors' memory and on their disks.
+
+    Lineage stays: what a lost executor held is computed again, from the written tables before it.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def drop(*tables: DataFrame) -> None:
-    """Remove tables that cut() wrote; nothing that is still to be computed may read them."""
+    """Remove tables that cut() wrote, and let go of what hold() kept; nothing that is still to be computed may need a written one."""
     for df in tables:
         spark, path = df.sparkSession, df.__dict__.pop("_feedweave_table", None)
         if path:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        else:
+            df.unpersist()
+
+
+#: Rows of an Arrow batch, which is held on both sides of the pipe: texts may be long.
+ARROW_ROWS, ARROW_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def heavy_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow over one Arrow batch at a time."""
-    ship(df.sparkSession)
+    """mapInArrow over one Arrow batch at a time.  The session's batches get smaller, unless they were set already."""
+    spark = ship(df.sparkSession)
+    if spark.conf.get(ARROW_SETTING) == "10000":
+        spark.conf.set(ARROW_SETTING, str(ARROW_ROWS))
     return df.mapInArrow(function, schema)
 
 
@@ -165,7 +182,7 @@ BROADCAST_IDS = 2_000_000
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is not in ids (one column).  Rows with a null id stay."""
-    ids = cut(ids.toDF("__id").distinct())
+    ids = hold(ids.toDF("__id").distinct())
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, docs[id_col] == ids["__id"], "left_anti")

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from feedweave.llm.common import cut, heavy_map, table, without
+from feedweave.llm.common import cut, heavy_map, hold, table, without
 
 BUCKETS = 1 << 16
 EFFECTIVE = 40.0
@@ -131,11 +131,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     out = says
     for key in ("domain", "host"):
-        stats = cut(votes(key))
+        stats = hold(votes(key))
         small = stats.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
         out = out.join(F.broadcast(stats) if small else stats, key, "left")
     for key in ("declared", "suffix"):  # bounded: declared languages in use, and suffixes; the same check holds
-        stats = cut(votes(key))
+        stats = hold(votes(key))
         small = stats.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
         out = out.join(F.broadcast(stats) if small else stats, key, "left")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedweave.llm.common import cut, drop, gram_hashes, heavy_map, lower_bytes, mix, span_hashes, table, texts, word_spans
+from feedweave.llm.common import cut, drop, gram_hashes, heavy_map, hold, lower_bytes, mix, span_hashes, table, texts, word_spans
 from feedweave.session import ship
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ _PLANE, _BIT_LONGS = -(-BANDS * ROWS // 64), BITS // 64
 #: Members of a bucket that are paired by a join, and rows of a side of a block in larger ones.
 MANY, BLOCK = 64, 2048
 #: Documents named in a broadcast at most, and bytes of sets that one task compares, about.
-BROADCAST_ROWS, TASK_BYTES = 200_000, 64 << 20
+BROADCAST_ROWS, TASK_BYTES = 200_000, 16 << 20
 #: The columns that tell sets apart.
 SET = ["f1", "f2", "n_shingles"]
 
@@ -166,12 +166,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     Tasks are dealt by b.  A task gets the set of each of its b, and of each a that it meets once, so the set of an a with
     many partners travels once for each task and not once for each pair.
     """
-    size = pairs.agg(F.sum(F.col("a_n") + F.col("b_n"))).first()[0] or 0
-    tasks = max(1, -(-8 * size // TASK_BYTES))
+    size = pairs.agg(F.sum(F.col("a_n") + F.col("b_n")).alias("shingles"), F.count("*").alias("n")).first()
+    tasks = max(1, -(-8 * (size["shingles"] or 0) // TASK_BYTES))
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(tasks)).alias("task"))
     place = F.explode(F.array(F.struct(F.col("a").alias("doc_id"), "task", F.lit(0).alias("kind")), F.struct(F.col("b").alias("doc_id"), "task", F.lit(1).alias("kind"))))
-    need = cut(dealt.select(place.alias("x")).select("x.*").groupBy("doc_id").agg(F.collect_set(F.struct("task", "kind")).alias("places")))  # two for each task at most
-    rows = docs.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "doc_id")
+    need = dealt.select(place.alias("x")).select("x.*").groupBy("doc_id").agg(F.collect_set(F.struct("task", "kind")).alias("places"))  # two for each task at most
+    rows = docs.join(F.broadcast(need) if 2 * size["n"] <= BROADCAST_ROWS else need, "doc_id")
     of_sets = rows.select("doc_id", "text", "places")
 
     def sets(batches):
@@ -216,17 +216,17 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, by alternating large-star and small-star steps.
 
-    The least neighbours of all nodes are written before they are joined, so a node with very many neighbours is a skewed
-    join that Spark divides, or a broadcast where they are few.
+    The least neighbours of all nodes are kept before they are joined, so a node with very many neighbours is a skewed
+    join that Spark divides, or a broadcast where they are few.  Each round begins from a written table.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         # Large star: of each node's neighbours and itself the least; larger neighbours move to it.
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = hold(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = hold(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # Small star: neighbours not larger than the node, and the node itself, move to the least of them.
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")))
+        low = hold(large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")))
         small = large.join(low.where("m < most"), "u").select("v", "m").where("v <> m").union(low.select("u", "m"))
         after = cut(small.toDF("u", "v").distinct())
         # Done when every edge leads to a root: no node has two parents, or a parent that has one.
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = cut(some.groupBy(*SET).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks")))
 
     rows = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    tops = cut(rows.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.min_by("n_shingles", "doc_id").alias("centre_n"), F.count("*").alias("size")).where("size > 1"))
+    tops = hold(rows.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.min_by("n_shingles", "doc_id").alias("centre_n"), F.count("*").alias("size")).where("size > 1"))
     held = cut(rows.join(tops, "bucket"))
 
     def screened(pairs: DataFrame) -> DataFrame:
@@ -253,19 +253,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("marks").alias(f"{x}_marks"), F.col("n_shingles").alias(f"{x}_n"))
         return pairs.join(side("a"), ["a", "a_n"]).join(side("b"), ["b", "b_n"]).where(close_enough()).select("a", "a_n", "b", "b_n").distinct()
 
-    star = cut(held.where("doc_id <> centre").where(alike_in_size("n_shingles", "centre_n")).select(F.col("centre").alias("a"), F.col("centre_n").alias("a_n"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("b_n")).distinct())
+    star = held.where("doc_id <> centre").where(alike_in_size("n_shingles", "centre_n")).select(F.col("centre").alias("a"), F.col("centre_n").alias("a_n"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("b_n")).distinct()
     near = cut(screened(star))
     # Rows of one doc_id with different texts belong together.
     several = some.groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("x"), F.max(F.struct(*SET)).alias("y")).where("x <> y").select("doc_id")
     bound = some.join(several, "doc_id", "left_semi").select("doc_id", *SET).join(reps.select(*SET, F.col("doc_id").alias("b")), SET).select(F.col("doc_id").alias("a"), "b")
-    links = cut(confirmed(near, docs).union(bound))
-    found = components(links)
-    drop(star, near, links)
+    found = components(confirmed(near, docs).union(bound))
+    drop(tops, near)
 
     # Buckets that hold more than one component: queries against members of other components, but for the centre.
     label = held.where("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "size", "centre", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    label = cut(label)
-    broken = cut(label.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("component"))).alias("home")).where("c0 <> c1").select("bucket", "home"))
+    label = hold(label)
+    broken = hold(label.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("component"))).alias("home")).where("c0 <> c1").select("bucket", "home"))
     open_ = cut(label.join(broken, "bucket").where("doc_id <> centre").withColumn("is_query", F.col("component") != F.col("home")))
     side = lambda x, rows: rows.select("bucket", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("component").alias(f"{x}_c"), F.col("is_query").alias(f"{x}_q"))
     small = open_.where(F.col("size") <= MANY)
@@ -278,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = cut(confirmed(left, docs))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    drop(tops, held, label, broken, open_, left, more)
+    drop(held, label, broken, open_, left, more)
 
     of = reps.select(*SET, "copies", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*SET, "copies", F.col("doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component"))
     of = cut(of.where("copies > 1 OR component <> rep").select(*SET, "component"))

@@ -721,6 +721,7 @@ def test_language_model(spark):
         words = [*ctw.tokens(texts[r["doc_id"]]), b"\n"]
         assert (r["n_tokens"], r["train_tokens"], r["n_known"]) == (len(words), n, sum(count[w] > 0 for w in words))
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words))
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / len(ctw.stream(words[:-1])))
     assert len(rows) == len(docs)
 
 
