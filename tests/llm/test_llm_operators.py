@@ -79,7 +79,7 @@ def test_randomness_battery(spark):
     assert len([i for i in got if i >= 1000]) <= 15
 
 
-def tests_of(value):
+def judged_by(value):
     """(stratum, p) of a candidate, by the definitions; None if it does not enter the battery."""
     body = value.rstrip("=")
     name, _, alphabet = next(((n, p, s) for n, p, s in secret_scan.ENCODINGS if re.fullmatch(p, body)), (None, None, ""))
@@ -139,7 +139,7 @@ def test_battery_equals_brute_force(spark):
     want = {}
     for i, t in docs:
         for m in re.finditer(secret_scan.CANDIDATE, t or ""):
-            if len(m[0].rstrip("=")) >= 20 and (judged := tests_of(m[0])):
+            if len(m[0].rstrip("=")) >= 20 and (judged := judged_by(m[0])):
                 want[i, m.start(), m.end()] = judged
     assert {(r["doc_id"], r["s"], r["e"]): r["stratum"] for r in found} == {k: s for k, (s, _) in want.items()}
     assert all(r["p"] == pytest.approx(want[r["doc_id"], r["s"], r["e"]][1], rel=1e-6, abs=1e-12) for r in found)
@@ -166,7 +166,7 @@ def test_p_values_of_random_strings_are_uniform(spark):
     for name, _, alphabet in secret_scan.ENCODINGS:
         for n in (64, 100) if name in ("lower", "upper") else (40, 100) if name in ("letters", "decimal") else (24, 40):
             values = ["".join(rng.choices(alphabet, k=n)) for _ in range(300)]
-            p = [x[1] for v in values if (x := tests_of(v)) and x[0].startswith(name)]
+            p = [x[1] for v in values if (x := judged_by(v)) and x[0].startswith(name)]
             if len(p) > 150:
                 assert 0.36 <= sum(x < 0.5 for x in p) / len(p) <= 0.6 and sum(x < 0.05 for x in p) / len(p) <= 0.12
 
