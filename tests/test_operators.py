@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedweave.config import Alignment, SourceFilter, Weights
-from feedweave.operators import assign, blocks, fuse, linkage, rules, trace, upsert, workplan
+from feedweave.operators import alike, assign, blocks, fuse, linkage, rules, trace, upsert, workplan
+from feedweave.plans.merge import match_titles, merge
 
 ROW = "show string, idx bigint, id string, title string, description string, pub_date timestamp"
 DAY = dt.datetime(2024, 3, 1)
@@ -112,6 +113,36 @@ def test_assignment_forms_agree(spark):
     assert assign.greedy(df.limit(0)).count() == 0
 
 
+def test_classes_are_assigned_as_their_rows():
+    rng = random.Random(4)
+    for _ in range(300):
+        refs, dls = ({c: sorted(rng.sample(range(c, 60, 6), rng.randint(1, 6)), reverse=True) for c in range(6)} for _ in range(2))
+        edges = [(rng.choice([0.8, 0.9, 1.0]), x, y) for x in refs for y in dls if rng.random() < 0.5]
+        want = plain_greedy([(r, d, s) for s, x, y in edges for r in refs[x] for d in dls[y]], 0.5)
+        assert [(r, d) for r, d, _ in alike.assigned(edges, refs, dls)] == want
+
+
+def test_equal_rows_are_scored_once(spark, monkeypatch):
+    """Copies reach the blocks as one row, and every pair of copies comes out."""
+    given = []
+
+    def counted(a, b, *args, _scores=blocks.scores, **how):
+        given.append((a.count(), b.count()))
+        return _scores(a, b, *args, **how)
+
+    monkeypatch.setattr(blocks, "scores", counted)
+    titles = ["the big moon landing", "another story told", "third tale entirely"]
+    rows = [("s", i, "", titles[i % 3], "", None, f"c{i}", None) for i in range(60)]
+    frame = spark.createDataFrame(rows, ROW + ", content string, image string")
+    pairs = linkage.align_scores(frame, frame)
+    assert {(r["ref_idx"], r["dl_idx"]) for r in pairs.where("score = 1").collect()} == {(i, j) for i in range(60) for j in range(60) if i % 3 == j % 3}
+    every = [(i, i, i + 1) for i in range(60)]
+    assert [(r["ref_idx"], r["dl_idx"], r["rank"]) for r in merge([frame], [frame], explain=False).pairs.orderBy("rank").collect()] == every
+    assert [(r["ref_idx"], r["dl_idx"], r["rank"]) for r in match_titles(frame.withColumnRenamed("title", "stem"), frame).orderBy("rank").collect()] == every
+    assert fuse.fold_dedup([frame, frame.limit(40)]).count() == 60
+    assert given == [(3, 3)] * 4
+
+
 def test_fusion(spark):
     row = lambda i, **k: spark.createDataFrame([("s", 0, i, k.get("title", "t"), k.get("d"), k.get("c"), k.get("image"), k.get("date"))], "show string, idx bigint, id string, title string, description string, content string, image string, pub_date timestamp")
     pairs = spark.createDataFrame([("s", 0, 0, 0.9, 1)], "show string, ref_idx bigint, dl_idx bigint, score double, rank bigint")
