@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedweave.llm.common import cut, drop, gram_hashes, heavy_map, hold, lower_bytes, mix, span_hashes, table, texts, word_spans
+from feedweave.llm.common import BROADCAST_IDS, cut, drop, gram_hashes, heavy_map, hold, lower_bytes, mix, span_hashes, table, texts, word_spans
 from feedweave.session import ship
 
 SHINGLE = 5
@@ -171,7 +171,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(tasks)).alias("task"))
     place = F.explode(F.array(F.struct(F.col("a").alias("doc_id"), "task", F.lit(0).alias("kind")), F.struct(F.col("b").alias("doc_id"), "task", F.lit(1).alias("kind"))))
     need = dealt.select(place.alias("x")).select("x.*").groupBy("doc_id").agg(F.collect_set(F.struct("task", "kind")).alias("places"))  # two for each task at most
-    rows = docs.join(F.broadcast(need) if 2 * size["n"] <= BROADCAST_ROWS else need, "doc_id")
+    if 2 * size["n"] <= BROADCAST_ROWS:
+        rows = docs.join(F.broadcast(need), "doc_id")
+    else:  # only texts that are asked for travel
+        rows = (docs.join(F.broadcast(need.select("doc_id")), "doc_id", "left_semi") if need.count() <= BROADCAST_IDS else docs).join(need, "doc_id")
     of_sets = rows.select("doc_id", "text", "places")
 
     def sets(batches):

@@ -626,6 +626,15 @@ def test_large_buckets_equal_brute_force(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) > 10
 
 
+def test_only_texts_that_are_asked_for_travel(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    docs = frame(spark, [(i, f"a b c d e f g {i // 2}") for i in range(50)])
+    pairs = spark.createDataFrame([(0, 4, 1, 4), (2, 4, 4, 4)], "a bigint, a_n bigint, b bigint, b_n bigint")
+    found = minhash.confirmed(pairs, docs)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["a"], r["b"]) for r in found.collect()] == [(0, 1)]
+
+
 def test_texts_of_one_id_belong_together(spark):
     rng = random.Random(18)
     x, y = (" ".join(rng.choices([f"w{i}" for i in range(90)], k=40)) for _ in range(2))
