@@ -10,14 +10,16 @@
 5. Components of the confirmed links by alternating large-star and small-star.
 6. Buckets that still hold several components are finished, so that no link is missed because neither end was the centre:
    members outside the centre's component are the queries, and meet all members of other components.  Buckets of up to MANY
-   members do so by a join; in larger ones blocks of queries meet blocks of members, and only pairs whose signatures allow a
-   link leave the block.  All go through the same confirmation.
+   members do so by a join and the same confirmation.  Documents of larger ones are crowds, each document once however many
+   buckets it shares; in a crowd blocks of queries meet blocks of members with their full sets, and what leaves a block are
+   confirmed links that join different components, fewer than its rows.
 
 What can be missed, for two sets at the threshold 0.75: no common band, (1 - 0.75**3)**32 < 3e-8; fewer than ``AGREE`` equal
 bytes of 96, < 1e-8.  The bit sets never reject a link: each differing bit is a shingle that only one side has.
 
-The work of step 6 is the number of queries times the members that share a bucket with them: linear in the number of
-documents for groups of bounded size, quadratic in the size of a group of which a fixed share is near, but not at, the threshold.
+The work of step 6 is the number of queries times the members that share a bucket, or a crowd, with them: linear in the number
+of documents for groups of bounded size.  In a group of which a fixed share is near, but not at, the threshold, the comparisons
+inside the blocks are quadratic in its size; the rows that come out of a block are not.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; rows with one
 doc_id are one document with the links of them all; ties go to the smaller doc_id; an empty table gives
@@ -28,11 +30,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedweave.llm.common import BROADCAST_IDS, cut, drop, gram_hashes, heavy_map, hold, lower_bytes, mix, span_hashes, table, texts, word_spans
-from feedweave.session import ship
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
@@ -40,8 +40,8 @@ BANDS, ROWS = 32, 3
 #: Equal bytes of the BANDS * ROWS minima that a candidate needs, and bits of the shingles' bit set.
 AGREE, BITS = 44, 1024
 _PLANE, _BIT_LONGS = -(-BANDS * ROWS // 64), BITS // 64
-#: Members of a bucket that are paired by a join, and rows of a side of a block in larger ones.
-MANY, BLOCK = 64, 2048
+#: Members of a bucket that are paired by a join, and rows and bytes of sets of a side of a block in larger ones.
+MANY, BLOCK, BLOCK_BYTES = 64, 2048, 8 << 20
 #: Documents named in a broadcast at most, and bytes of sets that one task compares, about.
 BROADCAST_ROWS, TASK_BYTES = 200_000, 16 << 20
 #: The columns that tell sets apart.
@@ -120,44 +120,91 @@ def close_enough():
     return F.expr(f"{BANDS * ROWS} - ({other}) >= {AGREE} AND {100 + THRESHOLD} * ({missing}) <= {100 - THRESHOLD} * (a_n + b_n)")
 
 
-def allowed(rows: DataFrame) -> DataFrame:
-    """(a, a_n, b, b_n): queries of buckets and members of other components whose signatures allow a link.
+def asked_for(docs: DataFrame, need: DataFrame, few: bool) -> DataFrame:
+    """Rows of docs with the columns of need, one row for each document that is asked for: only their texts travel."""
+    if few:
+        return docs.join(F.broadcast(need), "doc_id")
+    return (docs.join(F.broadcast(need.select("doc_id")), "doc_id", "left_semi") if need.count() <= BROADCAST_IDS else docs).join(need, "doc_id")
 
-    rows: bucket, doc_id, n_shingles, component, marks, is_query; two queries meet once.
+
+def crowds(rows: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component, is_query, crowd: each document once, in the crowd of all whose buckets meet, by a query or not."""
+    first = rows.groupBy("bucket").agg(F.min("doc_id").alias("a"))
+    of = components(rows.join(first, "bucket").select("a", F.col("doc_id").alias("b"))).withColumnsRenamed({"node": "doc_id", "component": "crowd"})
+    once = rows.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component").alias("component"), F.max("is_query").alias("is_query"))
+    return once.join(of, "doc_id", "left").withColumn("crowd", F.coalesce("crowd", "doc_id"))
+
+
+def met(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join all components of a crowd that are linked through a query, found on the full sets.
+
+    rows: as crowds() makes them.  Blocks of queries meet blocks of members.  A link that joins what the block has joined
+    already is not looked for, so a block makes fewer links than it has rows.
     """
-    count = rows.groupBy("bucket").agg(F.ceil(F.count_if("is_query") / BLOCK).cast("int").alias("of_q"), F.ceil(F.count("*") / BLOCK).cast("int").alias("of_m")).where("of_q > 0")
-    held = rows.join(count, "bucket")
-    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = held.where("is_query").withColumn("q", place("of_q")).withColumn("m", every("of_m")).withColumn("asks", F.lit(True))
-    told = held.withColumn("m", place("of_m")).withColumn("q", every("of_q")).withColumn("asks", F.lit(False))
-    schema = pa.schema([(c, pa.int64()) for c in ("a", "a_n", "b", "b_n")])
-
-    def side(block: pa.Table):
-        block = block.combine_chunks()
-        longs = block["marks"].combine_chunks().flatten().to_numpy().view(np.uint64)
-        return [block[c].to_numpy() for c in ("doc_id", "n_shingles", "component", "is_query")] + [np.ascontiguousarray(longs.reshape(block.num_rows, 8 * _PLANE + _BIT_LONGS).T)]
+    rows = hold(rows)
+    blocks = lambda some, name: F.greatest(F.ceil(F.count(some) / BLOCK), F.ceil(8 * F.sum(F.when(some.isNotNull(), F.col("n_shingles"))) / BLOCK_BYTES)).cast("int").alias(name)
+    count = rows.groupBy("crowd").agg(blocks(F.when(F.col("is_query"), 1), "of_q"), blocks(F.lit(1), "of_m")).where("of_q > 0")
+    asks = "if(is_query, transform(sequence(0, of_m - 1), m -> struct(cast(pmod(xxhash64(doc_id), of_q) as int) as q, m as m, true as asks)), array())"
+    told = "transform(sequence(0, of_q - 1), q -> struct(q as q, cast(pmod(xxhash64(doc_id), of_m) as int) as m, false as asks))"
+    need = rows.join(count, "crowd").select("doc_id", "component", "is_query", "crowd", F.expr(f"concat({asks}, {told})").alias("places"))
+    of_sets = asked_for(docs, need, rows.count() <= BROADCAST_ROWS).select("doc_id", "text", "component", "is_query", "crowd", "places")
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.binary())], ["doc_id", "component", "is_query", "crowd", "places", "set"])
+
+    made = heavy_map(of_sets, sets, "doc_id bigint, component bigint, is_query boolean, crowd bigint, places array<struct<q:int,m:int,asks:boolean>>, set binary")
+    made = made.where("length(set) > 0").select("doc_id", "component", "is_query", "crowd", "set", F.explode("places").alias("p")).select("crowd", "p.q", "p.m", "p.asks", "doc_id", "component", "is_query", "set")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(block: pa.Table) -> pa.Table:
-        (ids, sizes, of, _, marks), (doc, size, component, is_query, other) = side(block.filter(block["asks"])), side(block.filter(pa.compute.invert(block["asks"])))
-        out = []
-        for i in range(len(ids)):
-            at = np.flatnonzero((component != of[i]) & (~is_query | (component > of[i])) & (100 * np.minimum(size, sizes[i]) >= THRESHOLD * np.maximum(size, sizes[i])))
-            for part in range(_PLANE):
-                differ = np.zeros(len(at), np.uint64)
-                for n in range(8):
-                    differ |= other[_PLANE * n + part, at] ^ marks[_PLANE * n + part, i]
-                unequal = np.bitwise_count(differ) + (unequal if part else 0)
-            at = at[unequal <= BANDS * ROWS - AGREE]
-            apart = np.zeros(len(at), np.int64)
-            for n in range(8 * _PLANE, 8 * _PLANE + _BIT_LONGS):
-                apart += np.bitwise_count(other[n, at] ^ marks[n, i])
-            at = at[(100 + THRESHOLD) * apart <= (100 - THRESHOLD) * (size[at] + sizes[i])]
-            out.append((np.full(len(at), ids[i]), np.full(len(at), sizes[i]), doc[at], size[at]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema) if out else schema.empty_table()
-
-    ship(rows.sparkSession)
-    return asks.unionByName(told).drop("of_q", "of_m").groupBy("bucket", "q", "m").applyInArrow(run, "a bigint, a_n bigint, b bigint, b_n bigint")
+        asks = block["asks"].to_numpy()
+        found = spanning(*(_side(block.filter(pa.array(side))) for side in (asks, ~asks)))
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in found], schema=schema)
+
+    return made.groupBy("crowd", "q", "m").applyInArrow(run, "a bigint, b bigint")
+
+
+def _side(block: pa.Table) -> tuple:
+    """doc_id, component, is_query and set of each row."""
+    return *(block[c].to_numpy() for c in ("doc_id", "component", "is_query")), [np.frombuffer(x.as_py(), np.uint64) for x in block["set"]]
+
+
+def spanning(queries: tuple, members: tuple) -> tuple[list[int], list[int]]:
+    """Links between queries and members that join all components that any such link joins, one for each joining.
+
+    Two queries meet once, where the member's component is the greater.
+    """
+    (ids, of, _, asked), (docs, component, is_query, sets) = queries, members
+    if not len(ids) or not len(docs):
+        return [], []
+    # Shingles as places of the queries' different ones; a member's others, which no query has, are only counted.
+    words = np.unique(np.concatenate(asked))
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    place = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+    place[words[place] != flat] = len(words)
+    start = np.concatenate([[0], np.cumsum(size)])
+    label_q, label = of.copy(), component.copy()
+    a, b = [], []
+    for i, x in enumerate(asked):
+        at = np.flatnonzero((label != label_q[i]) & (~is_query | (component > of[i])) & (100 * np.minimum(size, len(x)) >= THRESHOLD * np.maximum(size, len(x))))
+        if not len(at):
+            continue
+        has = np.zeros(len(words) + 1, np.int32)
+        has[np.searchsorted(words, x)] = 1
+        ends = np.cumsum(size[at])
+        taken = np.arange(ends[-1]) + np.repeat(start[at] - ends + size[at], size[at])
+        common = np.add.reduceat(has[place[taken]], ends - size[at])
+        at = at[100 * common >= THRESHOLD * (size[at] + len(x) - common)]
+        joined, one = np.unique(label[at], return_index=True)
+        a += [int(ids[i])] * len(joined)
+        b += docs[at[one]].tolist()
+        mine = label_q[i]
+        label[np.isin(label, joined)] = mine
+        label_q[np.isin(label_q, joined)] = mine
+    return a, b
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -171,11 +218,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(tasks)).alias("task"))
     place = F.explode(F.array(F.struct(F.col("a").alias("doc_id"), "task", F.lit(0).alias("kind")), F.struct(F.col("b").alias("doc_id"), "task", F.lit(1).alias("kind"))))
     need = dealt.select(place.alias("x")).select("x.*").groupBy("doc_id").agg(F.collect_set(F.struct("task", "kind")).alias("places"))  # two for each task at most
-    if 2 * size["n"] <= BROADCAST_ROWS:
-        rows = docs.join(F.broadcast(need), "doc_id")
-    else:  # only texts that are asked for travel
-        rows = (docs.join(F.broadcast(need.select("doc_id")), "doc_id", "left_semi") if need.count() <= BROADCAST_IDS else docs).join(need, "doc_id")
-    of_sets = rows.select("doc_id", "text", "places")
+    of_sets = asked_for(docs, need, 2 * size["n"] <= BROADCAST_ROWS).select("doc_id", "text", "places")
 
     def sets(batches):
         for batch in batches:
@@ -273,11 +316,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = open_.where(F.col("size") <= MANY)
     rest = side("a", small.where("is_query")).join(side("b", small), "bucket").where("a_c <> b_c AND (NOT b_q OR a_c < b_c)").where(alike_in_size("a_n", "b_n"))
     rest = screened(rest.select("a", "a_n", "b", "b_n").distinct())
+    left = cut(rest)
+    more = confirmed(left, docs)
     large = open_.where(F.col("size") > MANY)
     if not large.isEmpty():
-        rest = rest.union(allowed(large.join(reps.select("doc_id", "n_shingles", "marks"), ["doc_id", "n_shingles"]).select("bucket", "doc_id", "n_shingles", "component", "is_query", "marks"))).distinct()
-    left = cut(rest)
-    more = cut(confirmed(left, docs))
+        more = more.union(met(crowds(large), docs))
+    more = cut(more)
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     drop(held, label, broken, open_, left, more)

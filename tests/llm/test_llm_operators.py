@@ -626,6 +626,19 @@ def test_large_buckets_equal_brute_force(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) > 10
 
 
+def test_rows_out_of_a_crowd_grow_with_its_documents(spark, monkeypatch):
+    """Of n documents that are linked each with each, n - 1 links leave the blocks, and not n squared; empty texts have none."""
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    base = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(0, 300, 5)] + [(1, ""), (2, " ")]
+    rows = [(0, i, 290, i, i > 0) for i, _ in docs] + [(1, i, 290, i, True) for i, _ in docs[1:]]
+    crowd = minhash.crowds(spark.createDataFrame(rows, "bucket int, doc_id bigint, n_shingles bigint, component bigint, is_query boolean"))
+    links = minhash.met(crowd, frame(spark, docs)).collect()
+    assert len(links) == 59
+    got = {r["node"]: r["component"] for r in minhash.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i, _ in docs[1:60]}
+
+
 def test_only_texts_that_are_asked_for_travel(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
     docs = frame(spark, [(i, f"a b c d e f g {i // 2}") for i in range(50)])
