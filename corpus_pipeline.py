@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feedweave.llm import bpe, decontaminate, language_id, minhash, secret_scan
 from feedweave.llm.common import table, without
 
+#: Word encodings that a worker remembers here: beside what the executor keeps from the stages before, fewer than alone.
+ROOM = 200_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
@@ -34,7 +37,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each document."""
-    return bpe.encode_documents(docs, bpe.word_bpe_path()).select("doc_id", "n_tokens", "ids")
+    return bpe.encode_documents(docs, bpe.word_bpe_path(), room=ROOM, decode=False).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [

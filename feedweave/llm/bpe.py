@@ -63,8 +63,8 @@ def byte_alphabet() -> list[str]:
 class Merges:
     """A merge list with an optional end-of-word suffix."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
-        self.vocab, self.suffix = vocab, suffix
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", room: int | None = None):
+        self.vocab, self.suffix, self.room = vocab, suffix, (room or CACHE_WORDS) // 3
         self.rank = {pair: r for r, pair in enumerate(merges)}
         self.names = {i: t for t, i in vocab.items()}
         self.max_token = max((len(self.symbols_of(t)) for t in vocab), default=1)
@@ -119,7 +119,7 @@ class Merges:
     def fits(self, a: str, b: str) -> bool:
         """Whether the boundary between two adjacent tokens is kept when they are encoded together."""
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > CACHE_WORDS // 3:
+            if len(self.pairs) > self.room:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._kept(a, b)
         return known
@@ -269,7 +269,7 @@ class Transducer:
             row = starts.get(part)
             if row is None:
                 self.step(s)
-                if len(starts) > CACHE_WORDS // 3:
+                if len(starts) > self.m.room:
                     starts.clear()
                 starts[part] = self.last[n]
             else:
@@ -288,12 +288,12 @@ class WordTokenizer:
     decode(ids, skip_special_tokens=False).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
-        self.merges = Merges(model["vocab"], pairs, model.get("end_of_word_suffix") or "")
+        self.merges = Merges(model["vocab"], pairs, model.get("end_of_word_suffix") or "", room)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -302,8 +302,8 @@ class WordTokenizer:
         self.raw = {i: t.encode() for i, t in names.items()}
         self.bytes = byte_alphabet()
         self.packed = {t: i.to_bytes(4, "little") for t, i in model["vocab"].items()}
-        self.parts = _Remembered(self.pre_token)
-        self.words = _Remembered(self.chunk)
+        self.parts = _Remembered(self.pre_token, room or CACHE_WORDS)
+        self.words = _Remembered(self.chunk, room or CACHE_WORDS)
 
     def pre_token(self, word: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of a pre-token."""
@@ -422,22 +422,26 @@ class ByteDecoder:
 
 
 @functools.lru_cache(2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str, room: int | None = None) -> WordTokenizer:
+    return WordTokenizer(path, room)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens, decoded."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int | None = None, decode: bool = True) -> DataFrame:
+    """One row per input row: doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens, decoded (decode=False: without).
+
+    room: word encodings that a worker remembers, CACHE_WORDS if not given; fewer take more time.
+    """
 
     def run(batches):
-        t = tokenizer(path)
+        t = tokenizer(path, room)
         for batch in batches:
             ids, out, size = [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 decoder, code, back = t.decoder(), [], []
                 for some in t.stream(text.as_py()):
                     code.append(some)
-                    back.append(decoder.feed(memoryview(some).cast("I")))
+                    if decode:
+                        back.append(decoder.feed(memoryview(some).cast("I")))
                 back.append(decoder.finish())
                 code, back = b"".join(code), "".join(back)
                 ids.append(doc)
@@ -452,9 +456,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def rows(ids, out):
         a, b, c = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+        made = {"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(a, pa.binary()), "n_tokens": pa.array(b, pa.int64())}
+        return pa.RecordBatch.from_pydict(made | ({"decoded": pa.array(c, pa.string())} if decode else {}))
 
-    return heavy_map(texts(docs, id_col, text_col), run, "doc_id bigint, ids binary, n_tokens bigint, decoded string")
+    return heavy_map(texts(docs, id_col, text_col), run, "doc_id bigint, ids binary, n_tokens bigint" + (", decoded string" if decode else ""))
 
 
 def word_bpe_path() -> str:

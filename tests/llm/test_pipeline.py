@@ -58,3 +58,17 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_little_room_changes_no_ids(spark):
+    """A worker of the pipeline remembers ROOM words at most, and decodes nothing that the stage does not return."""
+    rng = random.Random(23)
+    rows = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(40))) for i in range(20)]
+    t, few = (bpe.WordTokenizer(bpe.word_bpe_path(), room) for room in (None, 30))
+    assert [few.encode(x) for _, x in rows] == [t.encode(x) for _, x in rows]
+    for held in (few.words, few.parts):
+        assert len(held) + len(held.old) <= 30
+    assert len(few.merges.pairs) <= 11 and len(few.merges.starts) <= 11
+    out = bpe.encode_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), bpe.word_bpe_path(), room=corpus_pipeline.ROOM, decode=False)
+    assert out.columns == ["doc_id", "ids", "n_tokens"]
+    assert {r["doc_id"]: bytes(r["ids"]) for r in out.collect()} == {i: t.encode(x) for i, x in rows}
