@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,23 @@ def test_blocks_equal_all_pairs(spark):
     assert all(0 < v <= 1 for v in scores_of(spark, refs, dls).values())
 
 
+def test_titles_that_dates_rule_out_are_not_compared(monkeypatch):
+    """A common word does not make a pair of titles compared whose dates are too far apart for the tolerance."""
+    seen = []
+    whole = blocks.similarity.blended
+    monkeypatch.setattr(blocks.similarity, "blended", lambda a, b, kernel=False: seen.extend(zip(a, b)) or whole(a, b, kernel))
+
+    def side(titles, day):
+        n = len(titles)
+        rows = {"idx": range(n), "id": [""] * n, "desc_n": ["d"] * n, "micros": [day * blocks._DAY] * n, "title_n": titles, "anchors": [t.split() for t in titles], "markers": [[None]] * n}
+        return blocks.Side(pa.table({c: pa.array(list(x), pa.list_(pa.string()) if c in ("anchors", "markers") else None) for c, x in rows.items()}))
+
+    a, b = ["haunted river house", "moon over water"], ["haunted lake place", "moon over water"]
+    found = blocks.Block(side(a, 0), side(b, 400), Alignment(), "legacy").scores(0.75)
+    assert [x.tolist() for x in found[:2]] == [[1], [1]]
+    assert (a[1], b[1]) in seen and (a[0], b[0]) not in seen
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_bounds_lose_no_pair(spark, seed):
     """Titles without common anchors around the limit, of every character that normalisation keeps."""
