@@ -300,3 +300,13 @@ def test_download_and_cleanup_plans(spark):
     channels = spark.createDataFrame([("s", "S", "u", "", "", "")], "show string, title string, url string, description string, author string, subtitle string")
     files = spark.createDataFrame([("s", 0, "a-river-story", "http://f/a.mp3")], "show string, idx bigint, stem string, url string")
     assert "http://f/a.mp3" in download.feed(channels, files, merged.references).first()["xml"]
+
+
+def test_document_scores_are_a_search(spark):
+    """Every document with an id divisible by 50 is a query, of either side, and finds itself among all rows."""
+    from feedweave.plans import catalogue
+
+    docs = "/root/testdata/sf0.001"
+    wanted = {r["doc_id"] for r in spark.read.parquet(f"{docs}/documents.parquet").where("doc_id % 50 = 0").collect()}
+    rows = catalogue.QUERIES["pair_score_documents"](spark, docs).collect()
+    assert {r["ref_idx"] for r in rows} == wanted and {(i, i) for i in wanted} <= {(r["ref_idx"], r["dl_idx"]) for r in rows}
