@@ -310,3 +310,23 @@ def test_document_scores_are_a_search(spark):
     wanted = {r["doc_id"] for r in spark.read.parquet(f"{docs}/documents.parquet").where("doc_id % 50 = 0").collect()}
     rows = catalogue.QUERIES["pair_score_documents"](spark, docs).collect()
     assert {r["ref_idx"] for r in rows} == wanted and {(i, i) for i in wanted} <= {(r["ref_idx"], r["dl_idx"]) for r in rows}
+
+
+def test_pairs_of_rows_deal_scores_without_lists(spark, monkeypatch):
+    """No list of rows travels with a score: lists join below the place where pairs are dealt only beyond the broadcast's size."""
+    monkeypatch.setattr(alike, "PIECE", 2)
+    rows = {"refs": [(7, i) for i in range(5)] + [(8, 9)], "dls": [(7, i) for i in range(4)] + [(6, 11)]}
+    members = {k: spark.createDataFrame([("s", c, i) for c, i in v], "show string, class bigint, idx bigint") for k, v in rows.items()}
+    scores = [(7, 7, 0.5), (8, 6, 1.0)]
+    scored = alike.Scored(spark.createDataFrame([("s", *x) for x in scores], "show string, ref_idx bigint, dl_idx bigint, score double"), **members)
+    wanted = sorted((i, j, s) for r, d, s in scores for c, i in rows["refs"] if c == r for e, j in rows["dls"] if e == d)
+
+    def pairs():
+        found = scored.pairs()
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("RepartitionByExpression")]
+        return sorted((r["ref_idx"], r["dl_idx"], r["score"]) for r in found.collect()), above.count("Join Inner")
+
+    assert pairs() == (wanted, 2)
+    monkeypatch.setattr(alike, "BROADCAST_ROWS", 3)
+    assert pairs() == (wanted, 0)
