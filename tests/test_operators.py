@@ -330,3 +330,15 @@ def test_pairs_of_rows_deal_scores_without_lists(spark, monkeypatch):
     assert pairs() == (wanted, 2)
     monkeypatch.setattr(alike, "BROADCAST_ROWS", 3)
     assert pairs() == (wanted, 0)
+
+
+def test_kernel_pairs_deal_scores_without_lists(spark):
+    from feedweave.plans import catalogue
+
+    found = catalogue.QUERIES["pair_score_kernel"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("RepartitionByExpression")].count("Join Inner") == 2
+    a, b = (linkage.features(x) for x in catalogue.sides_of_parts(spark, "/root/testdata/sf0.001"))
+    wanted = linkage.score(linkage.all_pairs(a, b), semantics="kernel").where("score > 0").withColumn("score", F.round("score", 6))
+    key = lambda df: sorted((r["ref_idx"], r["dl_idx"], r["score"]) for r in df.collect())
+    assert key(found) == key(wanted)
