@@ -342,3 +342,15 @@ def test_kernel_pairs_deal_scores_without_lists(spark):
     wanted = linkage.score(linkage.all_pairs(a, b), semantics="kernel").where("score > 0").withColumn("score", F.round("score", 6))
     key = lambda df: sorted((r["ref_idx"], r["dl_idx"], r["score"]) for r in df.collect())
     assert key(found) == key(wanted)
+
+
+def test_document_scores_are_whole(spark):
+    """All references against all downloads of their shows, with the scores of the column expressions."""
+    from feedweave.plans import catalogue
+
+    docs = "/root/testdata/sf0.001"
+    a, b = (linkage.features(x) for x in catalogue.sides_of_documents(spark, docs))
+    wanted = linkage.score(linkage.all_pairs(a, b)).where("score > 0").withColumn("score", F.round("score", 6))
+    key = lambda df: sorted((r["show"], r["ref_idx"], r["dl_idx"], r["score"]) for r in df.collect())
+    found = key(catalogue.QUERIES["pair_score_documents"](spark, docs))
+    assert found == key(wanted) and any(r % 50 for _, r, _, _ in found)
