@@ -354,3 +354,10 @@ def test_document_scores_are_whole(spark):
     key = lambda df: sorted((r["show"], r["ref_idx"], r["dl_idx"], r["score"]) for r in df.collect())
     found = key(catalogue.QUERIES["pair_score_documents"](spark, docs))
     assert found == key(wanted) and any(r % 50 for _, r, _, _ in found)
+
+
+def test_blocks_are_dealt_to_many_tasks(spark):
+    """Blocks of few bytes are not put together into one task."""
+    rows = spark.createDataFrame([("s", i, f"x{i}", f"moon story {i}", "", None) for i in range(12)], ROW)
+    found = blocks.scores(linkage.features(rows), linkage.features(rows), chunk=2)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
